@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Entries of a table before it starts anew: bounds a task's memory (about 150 MB).
-TABLE_LIMIT = 400_000
-#: Characters of text that are looked up at a time.
-SLICE_CHARS = 2_000_000
+TABLE_LIMIT = 500_000
+#: Bytes of text that are worked on at a time; a single text is never cut.
+SLICE_BYTES = 1_000_000
 
 
 class _Index(dict):
@@ -73,30 +76,26 @@ def gather(flat: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray
     return flat[np.repeat(start - (ends - count), count) + np.arange(total)]
 
 
-def slices(texts: list[str], chars: int = SLICE_CHARS) -> Iterator[list[str]]:
-    """Consecutive runs of texts of about so many characters; a single text is never cut."""
-    run, size = [], 0
-    for text in texts:
-        run.append(text)
-        size += len(text) + 1
-        if size >= chars:
-            yield run
-            run, size = [], 0
-    if run:
-        yield run
+def slices(batch: pa.RecordBatch, column: int = 1, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of a batch with about so many bytes of text each."""
+    if not batch.num_rows:
+        return
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    cuts = np.flatnonzero(np.diff(ends // size)) + 1
+    for first, last in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+        yield batch.slice(first, last - first)
 
 
-def encode_texts(table: ChunkTable, cut: Callable[[str], list[str]], texts: list[str]) -> Iterator[np.ndarray]:
+def encode_texts(table: HubTable, texts: list[str]) -> list[np.ndarray]:
     """The ids of each text, as an array."""
-    for run in slices(texts):
-        chunks: list[str] = []
-        ends = []
-        for text in run:
-            chunks += cut(text)
-            ends.append(len(chunks))
-        ids, counts = table.lookup(chunks)
-        at = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])[ends]
-        yield from np.split(ids, at[:-1])
+    chunks: list[str] = []
+    ends = []
+    for text in texts:
+        chunks += table.cut(text)
+        ends.append(len(chunks))
+    ids, counts = table.lookup(chunks)
+    at = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])[ends]
+    return np.split(ids, at[:-1])
 
 
 def hf_tokenizer(path: str):
@@ -111,24 +110,76 @@ def hf_tokenizer(path: str):
     return tokenizer
 
 
-def hf_encode(path: str) -> Callable[[list[str]], list[list[int]]]:
-    tokenizer = hf_tokenizer(path)
-    return lambda texts: [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-
-def words_of(text: str) -> list[str]:
-    """For tokenizers that drop white space: nothing crosses a space or a line feed."""
-    return text.replace("\n", " ").split(" ")
+#: Letters, digits and other printable characters of which every library has the same notion; nothing here composes.
+_LETTERS, _OTHERS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-/:-@\[-`{-~"
+_COMMON = re.compile(rf"[ \n{_LETTERS}0-9{_OTHERS}]*")
+_ODD_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f]")
+_MARKED = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+_ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
+#: The two pre-tokenizers that are known here, as their files state them.
+WORD_PATTERN = _ENDINGS + r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_WORD = re.compile(rf"{_ENDINGS}|[{_LETTERS}]+|[0-9]|[{_OTHERS}]+")
+_BYTE = re.compile(rf"{_ENDINGS}| ?[{_LETTERS}]+| ?[0-9]+| ?[{_OTHERS}]+|[ \n]+(?![^ \n])|[ \n]+")
 
 
-_ODD = re.compile(r"[^\S \n]|[\x1c-\x1f]")
-_MARKED = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+def _byte_letters() -> list[str]:
+    """The printable stand-in of each byte in byte-level vocabularies: itself, or the next free one from U+0100."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
-def spaced_words(text: str) -> list[str]:
-    """For byte-level tokenizers: white space goes with the word after it.
+class HubTable(ChunkTable):
+    """A chunk table over a tokenizers file. cut() follows the file's pre-tokenizer.
 
-    A token ends before a space that follows other characters. White space but spaces and line feeds may join
-    its neighbours, so a text with any of it stays whole.
+    Words of common characters alone are cut as the pre-tokenizer cuts them, and go to the model at once; others go,
+    whole, through all of the tokenizer. A file with another pre-tokenizer has its texts encoded whole.
     """
-    return [text] if _ODD.search(text) else _MARKED.findall(text)
+
+    def __init__(self, path: str, limit: int = TABLE_LIMIT):
+        super().__init__(self._encode, limit)
+        self.tokenizer = hf_tokenizer(path)
+        self.model = self.tokenizer.model
+        self.byte = _byte_letters()
+        self.kind = self._kind(json.loads(self.tokenizer.to_str()))
+
+    @staticmethod
+    def _kind(file: dict) -> str:
+        pre, norm = file["pre_tokenizer"] or {}, file["normalizer"]
+        if norm is None and pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]:
+            return "byte"
+        steps = [x["type"] for x in (norm or {}).get("normalizers", [])]
+        parts = pre.get("pretokenizers", [])
+        if steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in parts] == ["Split", "ByteLevel"] and parts[0]["pattern"] == {"Regex": WORD_PATTERN}:
+            return "word"
+        return "other"
+
+    def cut(self, text: str) -> list[str]:
+        if self.kind == "word":
+            # white space is dropped and nothing crosses it
+            if _COMMON.fullmatch(text):
+                return _WORD.findall(text.lower())
+            return [c for w in text.replace("\n", " ").split(" ") for c in (_WORD.findall(w.lower()) if _COMMON.fullmatch(w) else [w])]
+        if self.kind == "byte":
+            # white space goes with the word after it; other white space may join its neighbours, so such a text stays whole
+            if _COMMON.fullmatch(text):
+                return _BYTE.findall(text)
+            if _ODD_SPACE.search(text):
+                return [text]
+            return [c for w in _MARKED.findall(text) for c in (_BYTE.findall(w) if _COMMON.fullmatch(w) else [w])]
+        return [text]
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        if self.kind == "other":
+            return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        out, whole = [], []
+        tokenize, byte = self.model.tokenize, self.byte
+        for n, text in enumerate(texts):
+            if _COMMON.fullmatch(text):
+                out.append([t.id for t in tokenize("".join([byte[b] for b in text.encode()]))])
+            else:
+                out.append([])
+                whole.append(n)
+        for n, e in zip(whole, self.tokenizer.encode_batch([texts[n] for n in whole], add_special_tokens=False), strict=True):
+            out[n] = e.ids
+        return out

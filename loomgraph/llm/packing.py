@@ -92,11 +92,10 @@ def token_bytes(df: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """doc_id and each document's ids, little-endian unsigned 32-bit or, if all ids of the vocabulary fit, 16-bit."""
 
     def run(batches):
-        tokenizer = chunks.hf_tokenizer(tokenizer_path)
-        kind = "<u2" if tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 and end_id < 1 << 16 else "<u4"
-        table = chunks.ChunkTable(lambda texts: [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)])
-        for batch in batches:
-            ids = chunks.encode_texts(table, chunks.words_of, batch.column(1).to_pylist())
+        table = chunks.HubTable(tokenizer_path)
+        kind = "<u2" if table.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 and end_id < 1 << 16 else "<u4"
+        for batch in (part for whole in batches for part in chunks.slices(whole)):
+            ids = chunks.encode_texts(table, batch.column(1).to_pylist())
             blobs = [np.append(x, end_id).astype(kind).tobytes() for x in ids]
             width = pa.array([int(kind[-1])] * len(blobs), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary()), width], ["doc_id", "ids", "width"])

@@ -42,6 +42,12 @@ def load(path: str, check: bool = False):
     return sp
 
 
+def segment_words(sp, words: list[str]) -> list[list[int]]:
+    """Ids of marked words: the library puts the first marker itself, but none before an empty text."""
+    ids = sp.encode([w[1:] for w in words], num_threads=1)
+    return [x or [sp.piece_to_id(MARK)] for x in ids]
+
+
 def encode_decode(df: DataFrame, model_path: str) -> DataFrame:
     """doc_id, ids array<int>, decoded string."""
     load(model_path, check=True)
@@ -51,32 +57,26 @@ def encode_decode(df: DataFrame, model_path: str) -> DataFrame:
         plain: list[str] = []
 
         def segment(words: list[str]) -> list[list[int]]:
-            ids = sp.encode([w[1:] for w in words], num_threads=1)
+            ids = segment_words(sp, words)
             # the library drops the first marker of what it decodes
             plain.extend(" " + s for s in sp.decode(ids, num_threads=1))
             return ids
 
         table = chunks.ChunkTable(segment)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            counts, flat, decoded = [], [], []
-            for run_ in chunks.slices(texts):
-                words: list[str] = []
-                ends = [0]
-                for text in run_:
-                    words += marked_words(text)
-                    ends.append(len(words))
-                if len(table.index) > table.limit:
-                    table.reset()
-                    plain.clear()
-                ids, each = table.lookup(words)
-                at = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])[ends]
-                counts.append(np.diff(at))
-                flat.append(ids)
-                back = list(map(plain.__getitem__, map(table.index.__getitem__, words)))
-                decoded += ["".join(back[a:b])[1:] for a, b in zip(ends, ends[1:], strict=False)]
-            offsets = np.concatenate([[0], *counts]).cumsum().astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32), pa.int32()))
+        for batch in (part for whole in batches for part in chunks.slices(whole)):
+            words: list[str] = []
+            ends = [0]
+            for text in batch.column(1).to_pylist():
+                words += marked_words(text)
+                ends.append(len(words))
+            if len(table.index) > table.limit:
+                table.reset()
+                plain.clear()
+            ids, each = table.lookup(words)
+            at = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])[ends]
+            back = list(map(plain.__getitem__, map(table.index.__getitem__, words)))
+            decoded = ["".join(back[a:b])[1:] for a, b in zip(ends, ends[1:], strict=False)]
+            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
 
     return text_or_empty(df).mapInArrow(run, "doc_id long, ids array<int>, decoded string")

@@ -180,9 +180,8 @@ def write_shards(df: DataFrame, path: str, tokenizer_path: str, end_id: int = 0,
         from pyspark import TaskContext
 
         shard, block = TaskContext.get().partitionId(), 0
-        tokenizer = chunks.hf_tokenizer(tokenizer_path)
-        terminals = max(tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
-        table = chunks.ChunkTable(lambda texts: [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)])
+        table = chunks.HubTable(tokenizer_path)
+        terminals = max(table.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
         docs, ids, size = [], [], 0
 
         def out():
@@ -190,8 +189,8 @@ def write_shards(df: DataFrame, path: str, tokenizer_path: str, end_id: int = 0,
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["shard", "block", "n_docs", "n_ids", "payload"])
 
-        for batch in batches:
-            for doc, x in zip(batch.column(0).to_pylist(), chunks.encode_texts(table, chunks.spaced_words, batch.column(1).to_pylist()), strict=True):
+        for batch in (part for whole in batches for part in chunks.slices(whole)):
+            for doc, x in zip(batch.column(0).to_pylist(), chunks.encode_texts(table, batch.column(1).to_pylist()), strict=True):
                 docs.append(doc)
                 ids.append(np.append(x, end_id))
                 size += len(x) + 1
