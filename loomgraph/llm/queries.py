@@ -8,14 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pieces, token_output
-from .common import documents
+from . import packing, pieces, quality_rules, secrets, token_output
+from .common import Stored, documents
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(quality_rules.ledger(documents(spark, sf_dir)))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = token_output.encode_write_read(spark, documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
     return ids.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
@@ -31,9 +36,18 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(documents(spark, sf_dir), Stored(spark))
+    base = F.expr("filter(spans, x -> x.kind <> 'random')")
+    found = found.withColumn("base", base)
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.listed("base"), 256).alias("base_sha256"), secrets.listed("spans").alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op6_quality_rules": op6_quality_rules,
     "op8_token_output": op8_token_output,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_secrets": op10_secrets,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_quality_rules": quality_rules.SQL}

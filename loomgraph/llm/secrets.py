@@ -15,7 +15,7 @@ Null texts count as empty: no spans. Repeated rows give repeated results. An emp
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stored, text_or_empty
@@ -50,7 +50,7 @@ def _tail(z: str) -> str:
 
 
 def battery(tokens: DataFrame) -> DataFrame:
-    """For a column found (a candidate): encoding, n symbols, p_chi, p_runs, p_serial, p (double)."""
+    """For a column found (a candidate): encoding, n symbols, klass of length, p_chi, p_runs, p_serial, p (double)."""
     body = "regexp_replace(found, '=+$', '')"
     out = tokens.withColumn(
         "encoding",
@@ -62,10 +62,12 @@ def battery(tokens: DataFrame) -> DataFrame:
     symbols = f"case encoding when 'hex' then lower({body}) when 'base32' then {body} else translate({body}, '-_', '+/') end"
     out = out.withColumn("v", F.expr(f"case when encoding <> 'plain' then transform(filter(split({symbols}, ''), c -> c not in ('', '=')), c -> locate(c, {alphabet}) - 1) end"))
     out = out.withColumn("n", F.expr("size(v)")).withColumn("cells", F.expr("least(16, greatest(2, n div 5))"))
+    # runs too short to tell anything are left out, as are those with symbols of no alphabet
+    out = out.filter("n >= 16 and array_min(v) >= 0")
     moments = F.expr(
-        """aggregate(arrays_zip(v, slice(v, 2, greatest(n - 1, 0)) as w), named_struct('s', 0L, 'q', 0L, 'x', 0L, 'hi', 0L, 'turns', 0L),
-        (a, x) -> named_struct('s', a.s + x.v, 'q', a.q + x.v * x.v, 'x', a.x + coalesce(x.v * x.w, 0), 'hi', a.hi + int(2 * x.v >= size),
-          'turns', a.turns + coalesce(int((2 * x.v >= size) <> (2 * x.w >= size)), 0)))""".replace(" as w)", ")").replace("x.w", "x.`1`")
+        """aggregate(arrays_zip(v, slice(v, 2, greatest(n - 1, 0))), named_struct('s', 0L, 'q', 0L, 'x', 0L, 'hi', 0L, 'turns', 0L),
+        (a, x) -> named_struct('s', a.s + x.v, 'q', a.q + x.v * x.v, 'x', a.x + coalesce(x.v * x.`1`, 0), 'hi', a.hi + int(2 * x.v >= size),
+          'turns', a.turns + coalesce(int((2 * x.v >= size) <> (2 * x.`1` >= size)), 0)))"""
     )
     out = out.withColumns(
         {
@@ -82,12 +84,12 @@ def battery(tokens: DataFrame) -> DataFrame:
     out = out.withColumns({"p_chi": F.expr(_tail(z_chi)), "p_runs": F.expr(f"least(1, 2 * {_tail(z_runs)})"), "p_serial": F.expr(f"least(1, 2 * {_tail(z_serial)})")})
     f = "(-2 * (ln(greatest(1e-300, p_chi)) + ln(greatest(1e-300, p_runs)) + ln(greatest(1e-300, p_serial))))"
     half = f"({f} / 2)"
-    return out.withColumn("p", F.expr(f"exp(-{half}) * (1 + {half} + {half} * {half} / 2)")).drop("size", "cells", "v", "chi", "m")
+    return out.withColumn("p", F.expr(f"exp(-{half}) * (1 + {half} + {half} * {half} / 2)")).withColumn("klass", F.expr("case when n < 28 then 0 when n < 40 then 1 when n < 64 then 2 else 3 end")).drop("size", "cells", "v", "chi", "m")
 
 
 def thresholds(tested: DataFrame, fdr: float = FDR) -> dict[tuple[str, int], float]:
     """The least p of a secret by encoding and length class; at most 12 classes of BINS counts come to the driver."""
-    rows = tested.filter("encoding <> 'plain'").groupBy("encoding", "klass", F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")).count().collect()
+    rows = tested.groupBy("encoding", "klass", F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")).count().collect()
     bins: dict[tuple[str, int], list[int]] = {}
     for r in rows:
         bins.setdefault((r.encoding, r.klass), [0] * BINS)[r.bin] += r["count"]
@@ -103,21 +105,28 @@ def thresholds(tested: DataFrame, fdr: float = FDR) -> dict[tuple[str, int], flo
 
 
 def scan(df: DataFrame, stored: Stored, fdr: float = FDR) -> DataFrame:
-    """doc_id and spans: array<struct<start, kind_order, kind, end>> by start, then kind as listed."""
+    """doc_id, n_assign, n_access, n_hex (long) and spans: array<struct<start, rank, kind, end>> by start, then kind as listed."""
     base = text_or_empty(df).select(
         "doc_id",
+        F.monotonically_increasing_id().alias("row"),
         F.expr(f"filter({_spans(ASSIGN, '2')}, x -> length(x.found) >= 8)").alias("assign"),
         F.expr(_spans(ACCESS)).alias("access"),
         F.expr(_spans(HEX)).alias("hex"),
-        F.expr(_spans(RUN)).alias("runs"),
+        F.expr(f"filter({_spans(RUN)}, x -> not x.found rlike r'{PLAIN}')").alias("runs"),
     )
-    base = stored.put(base, "spans")
-    klass = "case when n < 28 then 0 when n < 40 then 1 when n < 64 then 2 else 3 end"
-    tested = battery(base.select(F.explode("runs").alias("run")).select(F.col("run.found").alias("found")).filter(f"not found rlike r'{PLAIN}'").distinct()).withColumn("klass", F.expr(klass))
-    tested = stored.put(tested.select("found", "encoding", "klass", "p"), "tested")
+    base = stored.put(base, "base-spans")
+    runs = base.filter("size(runs) > 0").select("row", F.explode("runs").alias("run")).select("row", "run.*")
+    tested = stored.put(battery(runs.select("found").distinct()), "tested-runs")
     least = thresholds(tested, fdr)
     passed = " or ".join(f"(encoding = '{e}' and klass = {k} and p >= {t})" for (e, k), t in sorted(least.items())) or "false"
-    secret = tested.filter(passed).select("found")
-    hits = base.select("doc_id", F.expr("uuid()").alias("x")).limit(0)  # replaced below where there are candidates
-    del hits
-    return base, secret
+    hits = runs.join(tested.filter(passed).select("found"), "found").groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("random"))
+    spans = "concat(" + ", ".join(f"transform({kind}, x -> struct(x.start as start, {rank} as rank, '{kind}' as kind, x.end as end))" for rank, kind in enumerate(KINDS)) + ")"
+    none = F.expr("cast(array() as array<struct<start: int, end: int>>)")
+    out = base.join(hits, "row", "left").withColumn("random", F.coalesce("random", none))
+    counts = [F.size(kind).cast("long").alias(f"n_{kind}") for kind in KINDS[:3]]
+    return out.select("doc_id", *counts, F.expr(f"array_sort({spans})").alias("spans"))
+
+
+def listed(spans: str) -> Column:
+    """kind:start:end, comma-joined."""
+    return F.expr(f"array_join(transform({spans}, x -> concat(x.kind, ':', x.start, ':', x.end)), ',')")
