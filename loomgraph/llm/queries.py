@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pieces, quality_rules, secrets, token_output
+from . import packing, pieces, private_data, quality_rules, secrets, token_output
 from .common import Stored, documents
 
 
@@ -16,6 +16,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = private_data.scan(documents(spark, sf_dir), Stored(spark))
+    counts = [F.expr(f"cast(size(filter(base, x -> x.rank = {i})) as long)").alias(f"n_{kind}") for i, kind in enumerate(private_data.KINDS[:4])]
+    return found.select("doc_id", *counts, F.sha2(private_data.listed("base"), 256).alias("base_sha256"), private_data.listed("spans").alias("spans"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(quality_rules.ledger(documents(spark, sf_dir)))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -45,6 +51,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op4_private_data": op4_private_data,
     "op6_quality_rules": op6_quality_rules,
     "op8_token_output": op8_token_output,
     "op9_sentencepiece": op9_sentencepiece,
