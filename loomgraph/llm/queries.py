@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pieces, private_data, quality_rules, secrets, token_output
+from . import packing, pieces, private_data, quality_rules, secrets, token_output, toxicity
 from .common import Stored, documents
 
 
@@ -16,6 +16,13 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = private_data.scan(documents(spark, sf_dir), Stored(spark))
     counts = [F.expr(f"cast(size(filter(base, x -> x.rank = {i})) as long)").alias(f"n_{kind}") for i, kind in enumerate(private_data.KINDS[:4])]
@@ -51,6 +58,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_toxicity": op2_toxicity,
     "op4_private_data": op4_private_data,
     "op6_quality_rules": op6_quality_rules,
     "op8_token_output": op8_token_output,
