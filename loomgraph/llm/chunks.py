@@ -1,17 +1,19 @@
-"""Chunk tables: cut a text where no token can cross, and tokenize each distinct chunk once per task."""
+"""Chunk tables: cut a text where no token can cross, and tokenize each distinct chunk once per worker."""
 
 from __future__ import annotations
 
 import json
 import re
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Entries of a table before it starts anew: bounds a task's memory (about 150 MB).
-TABLE_LIMIT = 500_000
+#: Entries of a table before rare ones go: bounds a worker's memory (about 200 MB).
+TABLE_LIMIT = 800_000
 #: Bytes of text that are worked on at a time; a single text is never cut.
 SLICE_BYTES = 1_000_000
 
@@ -39,35 +41,56 @@ class ChunkTable:
     def reset(self) -> None:
         self.index = _Index()
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
-        self.start, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.start, self.count, self.hits = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64)
 
-    def lookup(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the chunks in order, and how many each chunk has."""
+    def rows(self, chunks: list[str]) -> np.ndarray:
+        """The chunks' places in the table, which takes in those that are new."""
         if len(self.index) > self.limit:
-            self.reset()
+            self._thin_out()
         index = self.index
         rows = np.fromiter(map(index.__getitem__, chunks), np.int64, len(chunks))
         if index.new:
             self._add(self.encode(index.new))
             index.new = []
-        return self.ids(rows), self.count[rows]
+        self.hits[: len(index)] += np.bincount(rows, minlength=len(index))
+        return rows
+
+    def lookup(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the chunks in order, and how many each chunk has."""
+        rows = self.rows(chunks)
+        return gather(self.flat, self.start[rows], self.count[rows]), self.count[rows]
+
+    def _thin_out(self) -> np.ndarray:
+        """Keeps the chunks met more than once, half as many as the limit allows at most; returns their former places."""
+        n = len(self.index)
+        hits = self.hits[:n]
+        most = np.argsort(-hits, kind="stable")[: self.limit // 2]
+        kept = np.sort(most[hits[most] > 1])
+        words = list(self.index)
+        flat, start, count = gather(self.flat, self.start[kept], self.count[kept]), self.count[kept].cumsum(dtype=np.int64) - self.count[kept], self.count[kept]
+        self.reset()
+        self.index.update((words[k], i) for i, k in enumerate(kept.tolist()))
+        self._grow(len(kept), len(flat))
+        self.flat[: len(flat)], self.used = flat, len(flat)
+        self.start[: len(kept)], self.count[: len(kept)] = start, count
+        return kept
+
+    def _grow(self, chunks: int, ids: int) -> None:
+        for name, need in (("start", chunks), ("count", chunks), ("hits", chunks), ("flat", ids)):
+            have = getattr(self, name)
+            if len(have) < need:
+                setattr(self, name, np.concatenate([have, np.zeros(max(len(have), need - len(have)), have.dtype)]))
 
     def _add(self, encoded: list[list[int]]) -> None:
         counts = np.fromiter(map(len, encoded), np.int32, len(encoded))
         ids = np.fromiter((i for one in encoded for i in one), np.int32, int(counts.sum()))
         first, n = len(self.index) - len(encoded), len(self.index)
-        while len(self.start) < n:
-            self.start, self.count = np.concatenate([self.start, self.start * 0]), np.concatenate([self.count, self.count * 0])
-        while len(self.flat) < self.used + len(ids):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self._grow(n, self.used + len(ids))
         self.start[first:n] = self.used + np.cumsum(counts) - counts
         self.count[first:n] = counts
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
 
-    def ids(self, rows: np.ndarray) -> np.ndarray:
-        return gather(self.flat, self.start[rows], self.count[rows])
-
 
 def gather(flat: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
     """The slices flat[start:start + count], one after another."""
@@ -98,6 +121,14 @@ def encode_texts(table: HubTable, texts: list[str]) -> list[np.ndarray]:
     return np.split(ids, at[:-1])
 
 
+def of_worker(key: str, make: Callable[[], ChunkTable]) -> ChunkTable:
+    """The table that this worker process keeps from task to task."""
+    kept = sys.modules.setdefault("_loomgraph_tables", types.ModuleType("_loomgraph_tables")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def hf_tokenizer(path: str):
     """A tokenizers.Tokenizer that runs in its task's own thread and takes special tokens' strings as text."""
     import os

@@ -92,7 +92,7 @@ def token_bytes(df: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """doc_id and each document's ids, little-endian unsigned 32-bit or, if all ids of the vocabulary fit, 16-bit."""
 
     def run(batches):
-        table = chunks.HubTable(tokenizer_path)
+        table = chunks.of_worker(tokenizer_path, lambda: chunks.HubTable(tokenizer_path))
         kind = "<u2" if table.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 and end_id < 1 << 16 else "<u4"
         for batch in (part for whole in batches for part in chunks.slices(whole)):
             ids = chunks.encode_texts(table, batch.column(1).to_pylist())

@@ -48,33 +48,42 @@ def segment_words(sp, words: list[str]) -> list[list[int]]:
     return [x or [sp.piece_to_id(MARK)] for x in ids]
 
 
+class PieceTable(chunks.ChunkTable):
+    """A chunk table that also holds what each marked word decodes to."""
+
+    def __init__(self, path: str, limit: int = chunks.TABLE_LIMIT):
+        self.sp, self.plain = load(path), []
+        super().__init__(self._segment, limit)
+
+    def _segment(self, words: list[str]) -> list[list[int]]:
+        ids = segment_words(self.sp, words)
+        # the library drops the first marker of what it decodes
+        self.plain.extend([" " + s for s in self.sp.decode(ids, num_threads=1)])
+        return ids
+
+    def _thin_out(self) -> np.ndarray:
+        plain, kept = self.plain, super()._thin_out()
+        self.plain = [plain[k] for k in kept.tolist()]
+        return kept
+
+
 def encode_decode(df: DataFrame, model_path: str) -> DataFrame:
     """doc_id, ids array<int>, decoded string."""
     load(model_path, check=True)
 
     def run(batches):
-        sp = load(model_path)
-        plain: list[str] = []
-
-        def segment(words: list[str]) -> list[list[int]]:
-            ids = segment_words(sp, words)
-            # the library drops the first marker of what it decodes
-            plain.extend(" " + s for s in sp.decode(ids, num_threads=1))
-            return ids
-
-        table = chunks.ChunkTable(segment)
+        table = chunks.of_worker(model_path, lambda: PieceTable(model_path))
         for batch in (part for whole in batches for part in chunks.slices(whole)):
             words: list[str] = []
             ends = [0]
             for text in batch.column(1).to_pylist():
                 words += marked_words(text)
                 ends.append(len(words))
-            if len(table.index) > table.limit:
-                table.reset()
-                plain.clear()
-            ids, each = table.lookup(words)
+            rows = table.rows(words)
+            each = table.count[rows]
+            ids = chunks.gather(table.flat, table.start[rows], each)
             at = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])[ends]
-            back = list(map(plain.__getitem__, map(table.index.__getitem__, words)))
+            back = list(map(table.plain.__getitem__, rows.tolist()))
             decoded = ["".join(back[a:b])[1:] for a, b in zip(ends, ends[1:], strict=False)]
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pieces, private_data, quality_rules, secrets, token_output, toxicity
+from . import near_vectors, packing, pieces, private_data, quality_rules, resampling, secrets, token_output, toxicity
 from .common import Stored, documents
 
 
@@ -23,12 +23,21 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return resampling.resample(documents(spark, sf_dir), labels, Stored(spark))
+
+
 def op4_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = private_data.scan(documents(spark, sf_dir), Stored(spark))
     counts = [F.expr(f"cast(size(filter(base, x -> x.rank = {i})) as long)").alias(f"n_{kind}") for i, kind in enumerate(private_data.KINDS[:4])]
     return found.select("doc_id", *counts, F.sha2(private_data.listed("base"), 256).alias("base_sha256"), private_data.listed("spans").alias("spans"))
 
 
+def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), Stored(spark))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(quality_rules.ledger(documents(spark, sf_dir)))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -59,7 +68,9 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
+    "op3_resampling": op3_resampling,
     "op4_private_data": op4_private_data,
+    "op5_near_vectors": op5_near_vectors,
     "op6_quality_rules": op6_quality_rules,
     "op8_token_output": op8_token_output,
     "op9_sentencepiece": op9_sentencepiece,

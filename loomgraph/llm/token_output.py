@@ -27,63 +27,65 @@ from . import chunks
 from .common import new_path, n_parts, text_or_empty
 
 MAGIC, HEADER = b"RPB1", "<8I"
-#: Documents to a shard, ids to a block, rounds of replacement, least uses of a new rule.
-SHARD_DOCS, BLOCK_IDS, ROUNDS, LEAST_USES = 4096, 1 << 20, 8, 12
+#: Documents to a shard, ids to a block, rounds of replacement, least uses of a new rule, least gain of a round that calls for another.
+SHARD_DOCS, BLOCK_IDS, ROUNDS, LEAST_USES, LEAST_GAIN = 4096, 1 << 20, 8, 12, 0.03
 _SLOT_BITS = 18
 
 
 def repair(ids: np.ndarray, last: np.ndarray, terminals: int, rounds: int = ROUNDS, least: int = LEAST_USES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, their last-of-document marks and the rules' (left, right) sides."""
-    s, rules = ids.astype(np.int64), []
-    base, most = terminals, (1 << 16) if terminals < 60_000 else 1 << 32
+    # a pair is one number: of 32 bits as long as symbols fit in 16
+    kind, bits = (np.uint32, 16) if terminals < 60_000 else (np.uint64, 32)
+    s, rules, none = ids.astype(kind), [], kind((1 << 2 * bits) - 1)
+    shift, low, base, most = kind(bits), (1 << bits) - 1, terminals, (1 << bits) - 1
     for _ in range(rounds):
-        if len(s) < 2:
-            break
-        code = (s[:-1] << 32) | s[1:]
-        inside = ~last[:-1]
-        order = np.sort(code[inside])
-        if not len(order):
-            break
-        edge = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1], [True]]))
-        uses, pairs = np.diff(edge), order[edge[:-1]]
+        code = (s[:-1] << shift) | s[1:]
+        code[last[:-1]] = none
+        order = np.sort(code)
+        edge = np.flatnonzero(order[1:] != order[:-1]) + 1
+        edge = np.concatenate([[0], edge, [len(order)]]) if len(order) else np.zeros(1, np.int64)
+        uses = np.diff(edge)
         often = np.flatnonzero(uses >= least)
-        often = often[np.lexsort((pairs[often], -uses[often]))][: min(1 << (_SLOT_BITS - 4), most - base)]
-        if not len(often):
+        pairs, uses = order[edge[often]], uses[often]
+        pairs, uses = pairs[pairs != none], uses[pairs != none]
+        pairs = pairs[np.argsort(-uses, kind="stable")][: min(1 << (_SLOT_BITS - 4), most - base)]
+        if not len(pairs):
             break
-        pairs = pairs[often]
         # one slot for each hash; the more frequent pair keeps it, the other waits for the next round
         slot = _slot(pairs)
-        table, rank = np.full(1 << _SLOT_BITS, -1, np.int64), np.full(1 << _SLOT_BITS, len(pairs), np.int32)
+        table, rank = np.full(1 << _SLOT_BITS, none, kind), np.full(1 << _SLOT_BITS, len(pairs), np.int32)
         table[slot[::-1]], rank[slot[::-1]] = pairs[::-1], np.arange(len(pairs), dtype=np.int32)[::-1]
         slot = _slot(code)
-        mine = np.where((table[slot] == code) & inside, rank[slot], len(pairs))
-        before = np.concatenate([[len(pairs)], mine[:-1]])
-        after = np.concatenate([mine[1:], [len(pairs)]])
-        taken = np.flatnonzero((mine < len(pairs)) & (mine < before) & (mine <= after))
-        used = np.bincount(mine[taken], minlength=len(pairs))
-        kept = np.flatnonzero(used >= least)
+        mine = rank[slot]
+        mine[(table[slot] != code) | (code == none)] = len(pairs)
+        end = np.full(1, len(pairs), np.int32)
+        taken = np.flatnonzero((mine < np.concatenate([end, mine[:-1]])) & (mine <= np.concatenate([mine[1:], end])) & (mine < len(pairs)))
+        which = mine[taken]
+        kept = np.flatnonzero(np.bincount(which, minlength=len(pairs)) >= least)
         if not len(kept):
             break
         name = np.full(len(pairs), -1, np.int64)
         name[kept] = base + np.arange(len(kept))
-        new = name[mine[taken]]
+        new = name[which]
         taken, new = taken[new >= 0], new[new >= 0]
-        rules.append(np.stack([pairs[kept] >> 32, pairs[kept] & 0xFFFFFFFF], 1))
+        rules.append(np.stack([pairs[kept] >> shift, pairs[kept] & kind(low)], 1).astype(np.int64))
         base += len(kept)
         s[taken] = new
-        stay = np.ones(len(s), bool)
-        stay[taken + 1] = False
         last = last.copy()
         last[taken] = last[taken + 1]
+        stay = np.ones(len(s), bool)
+        stay[taken + 1] = False
         shrunk = len(taken) / len(s)
         s, last = s[stay], last[stay]
-        if shrunk < 0.01:
+        if shrunk < LEAST_GAIN:
             break
     return s, last, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
 
 
 def _slot(codes: np.ndarray) -> np.ndarray:
-    return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+    if codes.dtype == np.uint32:
+        return (codes * np.uint32(0x9E3779B1)) >> np.uint32(32 - _SLOT_BITS)
+    return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
 
 
 def expansion_lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
@@ -180,7 +182,7 @@ def write_shards(df: DataFrame, path: str, tokenizer_path: str, end_id: int = 0,
         from pyspark import TaskContext
 
         shard, block = TaskContext.get().partitionId(), 0
-        table = chunks.HubTable(tokenizer_path)
+        table = chunks.of_worker(tokenizer_path, lambda: chunks.HubTable(tokenizer_path))
         terminals = max(table.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
         docs, ids, size = [], [], 0
 
