@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_vectors, packing, pieces, private_data, quality_rules, resampling, secrets, token_output, toxicity
+from . import near_vectors, packing, pieces, private_data, quality_rules, resampling, secrets, shingle_join, token_output, toxicity
 from .common import Stored, documents
 
 
@@ -43,6 +43,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.near_duplicates(documents(spark, sf_dir), Stored(spark))
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = token_output.encode_write_read(spark, documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
     return ids.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_private_data": op4_private_data,
     "op5_near_vectors": op5_near_vectors,
     "op6_quality_rules": op6_quality_rules,
+    "op7_shingle_join": op7_shingle_join,
     "op8_token_output": op8_token_output,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_secrets": op10_secrets,
