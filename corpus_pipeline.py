@@ -1,8 +1,59 @@
-"""The corpus pipeline: five stages from documents to packed sequences."""
+"""The corpus pipeline: quality rules, toxicity, near duplicates, personal data, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomgraph.llm import packing, private_data, quality_rules, shingle_join, toxicity
+from loomgraph.llm.common import Stored, documents
+
+
+def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the current policy of the quality rules rejects."""
+    return quality_rules.accepted(docs)
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents with a toxicity of 0.5 or more, by a model of this stage's own documents."""
+    return toxicity.clean_rows(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the least doc_id of each component of near duplicates."""
+    return shingle_join.one_of_each(docs, Stored(spark))
+
+
+def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data and disclosing terms in the texts."""
+    clean = private_data.sanitise(docs, Stored(spark))
+    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents into sequences: one row per piece."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_rules", reject_low_quality),
+    ("toxicity", reject_toxic),
+    ("ngram_jaccard_join", keep_one_of_each),
+    ("personal_data", sanitise),
+    ("packing", pack),
+]
+
+#: SQL can express neither the toxicity model nor the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each written and read again; the last one's rows."""
+    docs, stored = documents(spark, sf_dir), Stored(spark)
+    for name, stage in STAGES[:-1]:
+        docs = stored.put(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -69,6 +69,12 @@ def judge(book: DataFrame, version: int = max(POLICIES)) -> DataFrame:
     return book.withColumns({"base_failed": F.col("failed").bitwiseAND(F.lit(base)) != 0, "kept": F.col("failed").bitwiseAND(F.lit(base | mask)) == 0})
 
 
+def accepted(df: DataFrame, version: int = max(POLICIES)) -> DataFrame:
+    """The rows that a policy keeps, with all their columns as they were."""
+    whole = df.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+    return judge(ledger(whole, "_row"), version).filter("kept").select("_row.*")
+
+
 def ablations(book: DataFrame, version: int = max(POLICIES)) -> DataFrame:
     """For each rule of a policy: rows failing it, rows failing it alone, and rows kept if it were dropped.
 

@@ -400,6 +400,17 @@ def near_duplicates(df: DataFrame, stored: Stored) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def one_of_each(df: DataFrame, stored: Stored) -> DataFrame:
+    """The table without all but one document of each component (that with the least doc_id), and without repeats of a doc_id."""
+    each = stored.put(near_duplicates(df, stored).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")), "each")
+    again = each.filter("n > 1 and doc_id = component_id").select("doc_id")
+    gone = each.filter("n > 1 or doc_id <> component_id").select("doc_id")
+    out = df.join(gone, "doc_id", "left_anti").select(*df.columns)
+    if again.isEmpty():
+        return out
+    return out.union(df.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*df.columns))
+
+
 def checked(df: DataFrame, pairs: DataFrame, stored: Stored, name: str) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
     wanted = stored.put(wanted, f"{name}-wanted")
