@@ -1 +1,8 @@
 """A PySpark engine for dependency graphs, nested documents, incremental pipelines and recorded runs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions travel to the executors by value, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schemas import AST_ARRAYS, AST_DOCUMENT, DOMAIN_DOCUMENT
 
@@ -33,7 +34,7 @@ def canonical_json(text: str | None) -> str | None:
         return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical(texts: pd.Series) -> pd.Series:
     return texts.map(canonical_json)
 

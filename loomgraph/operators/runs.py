@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import call_id
 
@@ -100,7 +101,7 @@ def substituted(value, state: dict):
     return state.get(value, value) if isinstance(value, str) else value
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def substitute_json(arguments: pd.Series, state: pd.Series) -> pd.Series:
     """JSON arguments with state variables (a JSON object) put in, at any depth; what does not parse stays."""
 
@@ -124,7 +125,7 @@ def references(value) -> list[str]:
     return []
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def references_json(arguments: pd.Series) -> pd.Series:
     def one(a):
         try:

@@ -196,7 +196,7 @@ def levels(nodes: DataFrame, edges: DataFrame, limit: int = LOCAL_EDGES) -> Data
     kind = id_type(edges)
     names = nodes.select(F.col("node_id").alias("node")).distinct()
     pairs = edges.select("src", "dst").distinct()
-    pairs = pairs.join(names.withColumnRenamed("node", "src"), "src", "left_semi").join(names.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    pairs = pairs.join(names.withColumnRenamed("node", "src"), "src", "left_semi").join(names.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
     if small(pairs, limit):
 
         def work(rows):

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import backoff
@@ -37,7 +38,7 @@ def process(files: DataFrame, store: FileStore, extractors: dict[str, Extractor]
     going = F.lit(True)
     results = []
     for level in levels:
-        run = F.pandas_udf(extractors[level], "string")
+        run = F.pandas_udf(extractors[level], T.StringType())
         kept = F.when(same, F.col("old")[level])
         reuse = F.coalesce(kept["is_success"], F.lit(False))
         out = out.withColumn(f"_{level}", F.when(going & ~reuse, run(F.col("content"))))
@@ -85,7 +86,7 @@ def retries(jobs: DataFrame, attempts: int = ATTEMPTS, delay: float = DELAY_S) -
 def complete(jobs: DataFrame, finished: DataFrame) -> DataFrame:
     """Jobs with the status and duration of finished (job_id, ok, ended_at)."""
     out = jobs.join(finished, "job_id", "left")
-    seconds = (F.unix_micros("ended_at") - F.unix_micros("created_at")) / 1e6
+    seconds = (F.unix_micros(F.col("ended_at").cast("timestamp")) - F.unix_micros(F.col("created_at").cast("timestamp"))) / 1e6
     return out.withColumn("status", F.when(F.col("ok"), "Completed").when(~F.col("ok"), "Failed").otherwise(F.col("status"))).withColumn("duration_s", F.when(F.col("ok").isNotNull(), seconds).otherwise(F.col("duration_s"))).drop("ok", "ended_at")
 
 
