@@ -31,7 +31,7 @@ SAMPLE_ROWS, LEXICON_WORDS, FOLDS = 30_000, 20_000, 5
 LEAST_Z, LEAST_TEXTS, TIERS = 3.0, 3, (1.0, 2.0, 3.5)
 #: Words between a lexicon word and the second person.
 NEAR = 4
-TREES, DEPTH, RATE, BINS, LEAST_HESSIAN = 80, 3, 0.15, 32, 3.0
+TREES, DEPTH, RATE, BINS, LEAST_HESSIAN = 80, 3, 0.15, 32, 1.0
 # fixed values: second-person words of the four languages
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch euer tu te toi ton ta tes vous votre vos tú ti tuyo usted ustedes vosotros".split())
 _WORD = re.compile(r"\w+")
