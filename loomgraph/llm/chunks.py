@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import sys
@@ -12,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Entries of a table before rare ones go: bounds a worker's memory (about 200 MB).
-TABLE_LIMIT = 800_000
+#: Entries of a table before rare ones go: bounds a worker's memory (about 250 MB).
+TABLE_LIMIT = 1_000_000
 #: Bytes of text that are worked on at a time; a single text is never cut.
 SLICE_BYTES = 1_000_000
 
@@ -146,6 +147,8 @@ _LETTERS, _OTHERS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-/:-@\[-`{-~"
 _COMMON = re.compile(rf"[ \n{_LETTERS}0-9{_OTHERS}]*")
 _ODD_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f]")
 _MARKED = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+#: Stands before a chunk that must go through all of the tokenizer; no other chunk starts with it.
+WHOLE = "\0"
 _ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 #: The two pre-tokenizers that are known here, as their files state them.
 WORD_PATTERN = _ENDINGS + r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -190,27 +193,32 @@ class HubTable(ChunkTable):
             # white space is dropped and nothing crosses it
             if _COMMON.fullmatch(text):
                 return _WORD.findall(text.lower())
-            return [c for w in text.replace("\n", " ").split(" ") for c in (_WORD.findall(w.lower()) if _COMMON.fullmatch(w) else [w])]
+            return [c for w in text.replace("\n", " ").split(" ") for c in (_WORD.findall(w.lower()) if _COMMON.fullmatch(w) else [WHOLE + w])]
         if self.kind == "byte":
             # white space goes with the word after it; other white space may join its neighbours, so such a text stays whole
             if _COMMON.fullmatch(text):
                 return _BYTE.findall(text)
             if _ODD_SPACE.search(text):
-                return [text]
-            return [c for w in _MARKED.findall(text) for c in (_BYTE.findall(w) if _COMMON.fullmatch(w) else [w])]
-        return [text]
+                return [WHOLE + text]
+            return [c for w in _MARKED.findall(text) for c in (_BYTE.findall(w) if _COMMON.fullmatch(w) else [WHOLE + w])]
+        return [WHOLE + text]
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
-        if self.kind == "other":
-            return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         out, whole = [], []
         tokenize, byte = self.model.tokenize, self.byte
-        for n, text in enumerate(texts):
-            if _COMMON.fullmatch(text):
-                out.append([t.id for t in tokenize("".join([byte[b] for b in text.encode()]))])
-            else:
-                out.append([])
-                whole.append(n)
-        for n, e in zip(whole, self.tokenizer.encode_batch([texts[n] for n in whole], add_special_tokens=False), strict=True):
-            out[n] = e.ids
+        collecting = gc.isenabled()
+        gc.disable()  # nothing here makes cycles, and hundreds of thousands of lists are alive
+        try:
+            for n, text in enumerate(texts):
+                if text[:1] == WHOLE:
+                    out.append([])
+                    whole.append(n)
+                else:
+                    plain = text.replace(" ", byte[32]).replace("\n", byte[10]) if text.isascii() else "".join([byte[b] for b in text.encode()])
+                    out.append([t.id for t in tokenize(plain)])
+            for n, e in zip(whole, self.tokenizer.encode_batch([texts[n][1:] for n in whole], add_special_tokens=False), strict=True):
+                out[n] = e.ids
+        finally:
+            if collecting:
+                gc.enable()
         return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -48,8 +49,8 @@ def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = token_output.encode_write_read(spark, documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
-    return ids.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    path = token_output.encode_write(spark, documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_output.map_documents(spark, path, lambda ids: [len(ids), zlib.crc32(ids.astype("<u4").tobytes())], "n_tokens long, ids_crc32 long")
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

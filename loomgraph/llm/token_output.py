@@ -17,18 +17,21 @@ where doc_ids tie. Rows with a null doc_id are refused by an error: they have no
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import chunks
 from .common import new_path, n_parts, text_or_empty
 
 MAGIC, HEADER = b"RPB1", "<8I"
 #: Documents to a shard, ids to a block, rounds of replacement, least uses of a new rule, least gain of a round that calls for another.
-SHARD_DOCS, BLOCK_IDS, ROUNDS, LEAST_USES, LEAST_GAIN = 4096, 1 << 20, 8, 12, 0.03
+SHARD_DOCS, BLOCK_IDS, ROUNDS, LEAST_USES, LEAST_GAIN = 4096, 1 << 20, 6, 12, 0.03
 _SLOT_BITS = 18
 
 
@@ -205,8 +208,15 @@ def write_shards(df: DataFrame, path: str, tokenizer_path: str, end_id: int = 0,
     ordered.mapInArrow(run, "shard int, block int, n_docs long, n_ids long, payload binary").write.parquet(path)
 
 
-def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), ids binary (little-endian unsigned 32-bit), from the files alone."""
+#: Blocks up to which their first ids are sent to all tasks (24 bytes each); beyond it blocks are shuffled to them.
+BROADCAST_BLOCKS = 200_000
+
+
+def map_documents(spark: SparkSession, path: str, work: Callable[[np.ndarray], list], schema: str) -> DataFrame:
+    """doc_id, start (ids of all documents before it) and what work makes of each document's ids, from the files alone.
+
+    schema: the columns of what work returns.
+    """
     blocks = spark.read.parquet(path)
     # two steps, so that no task orders all blocks: totals of the shards, then blocks within each shard
     before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -214,20 +224,29 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     shards = shards.select("shard", before(Window.orderBy("shard")).alias("shard_start"))
     sizes = blocks.select("shard", "block", before(Window.partitionBy("shard").orderBy("block")).alias("in_shard"))
     starts = sizes.join(shards, "shard").select("shard", "block", (F.col("shard_start") + F.col("in_shard")).alias("first"))
+    if blocks.count() <= BROADCAST_BLOCKS:
+        starts = F.broadcast(starts)
+    out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), *T._parse_datatype_string(schema).fields])
+    kinds = to_arrow_schema(out)
 
     def run(batches):
         for batch in batches:
             for first, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 block = Block(payload.as_py())
-                blobs = [x.astype("<u4").tobytes() for x in block.all()]
-                yield pa.RecordBatch.from_arrays([pa.array(block.doc_ids), pa.array(first + block.start[:-1]), pa.array(blobs, pa.binary())], ["doc_id", "start", "ids"])
+                made = list(zip(*map(work, block.all()), strict=True))
+                columns = [pa.array(c, f.type) for c, f in zip([block.doc_ids, first + block.start[:-1], *made], kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, schema=kinds)
 
-    return blocks.join(starts, ["shard", "block"]).select("first", "payload").mapInArrow(run, "doc_id long, start long, ids binary")
+    return blocks.join(starts, ["shard", "block"]).select("first", "payload").mapInArrow(run, out)
 
 
-def encode_write_read(spark: SparkSession, df: DataFrame, tokenizer_path: str) -> DataFrame:
-    path = new_path(spark, "token-ids")
-    write_shards(df, path, tokenizer_path)
-    return read_shards(spark, path)
+def read_shards(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, ids binary (little-endian unsigned 32-bit)."""
+    return map_documents(spark, path, lambda ids: [ids.astype("<u4").tobytes()], "ids binary")
 
 
+def encode_write(spark: SparkSession, df: DataFrame, tokenizer_path: str) -> str:
+    """Writes a table's ids to the shared folder and returns the path."""
+    path = new_path(spark, "token-ids")
+    write_shards(df, path, tokenizer_path)
+    return path
