@@ -11,23 +11,27 @@ import uuid
 from collections import defaultdict
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Edges up to which a graph is worked on in one task (about 300 bytes each).
 LOCAL_EDGES = 2_000_000
 
 
-def stored(df: DataFrame, name: str = "round") -> DataFrame:
-    """The table, written to the cluster's shared folder and read again: cuts lineage, outlives lost executors."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the cluster's shared folder; in a folder of our own only where none is set, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         root = tempfile.mkdtemp(prefix="loomgraph-")
         spark.sparkContext.setCheckpointDir(root)
-    path = f"{root.rstrip('/')}/loomgraph/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/loomgraph/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str = "round") -> DataFrame:
+    """The table, written to the shared folder and read again: cuts lineage, outlives lost executors."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def in_one_task(edges: DataFrame, work: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:

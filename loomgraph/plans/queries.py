@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -1093,3 +1094,61 @@ def _(spark, d):
     return fx.view(spark, d, "events").select("event_id", runs.output_type(kind).alias("output"))
 
 
+
+
+def _store_entries(spark, d):
+    f = fx.entries(spark, d)
+    hashed = f.withColumns({"file_hash": text.content_hash(F.col("content")), "last_modified": F.col("processed_at")})
+    level = F.transform_values("level_data", lambda _, v: F.struct(v["content"].alias("content"), F.col("processed_at"), F.lit(0.0).alias("duration_s"), v["is_success"].alias("is_success"), F.lit(None).cast("string").alias("error_message")))
+    return hashed.select("file_path", "file_hash", "processed_at", "last_modified", F.col("file_size").cast("long").alias("file_size"), "status", level.alias("level_data"))
+
+
+@query("S10_S11_store", "SELECT file_path, CASE WHEN doc_id % 5 = 0 THEN 'Retried' ELSE status END AS status, CAST(has_ast AS INTEGER) + CAST(has_domain AS INTEGER) AS n_levels FROM fx_files WHERE doc_id % 7 <> 0")
+def _(spark, d):
+    kept = store.FileStore(spark, iterate.shared_path(spark, "store"))
+    first = _store_entries(spark, d)
+    kept.upsert(first)
+    fifth = F.regexp_extract("file_path", r"(\d+)\.md$", 1).cast("long")
+    kept.upsert(first.filter(fifth % 5 == 0).withColumns({"status": F.lit("Retried"), "processed_at": F.col("processed_at") + F.expr("interval 1 day")}))
+    gone = kept.read().filter(fifth % 7 == 0).select("path_key")
+    return kept.read().join(gone, "path_key", "left_anti").select("file_path", "status", F.size("level_data").alias("n_levels"))
+
+
+@query("S15_S16_response_cache", "SELECT run_id, CASE WHEN run_id % 3 <> 0 THEN concat('answer ', run_id) END AS response FROM (SELECT DISTINCT run_id FROM fx_steps)")
+def _(spark, d):
+    asked = fx.view(spark, d, "fx_steps").select("run_id").distinct().withColumn("request_key", text.request_key(F.struct("run_id")))
+    cache = store.ResponseCache(spark, iterate.shared_path(spark, "responses"))
+    made = F.when(F.col("run_id") % 3 == 0, F.to_timestamp(F.lit("2024-01-01"))).otherwise(F.to_timestamp(F.lit("2024-01-05")))
+    cache.append(asked.select("request_key", F.concat(F.lit("answer "), F.col("run_id").cast("string")).alias("response"), made.alias("created_at")))
+    return cache.lookup(asked, "2024-01-10").select("run_id", "response")
+
+
+def _some_ast(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t == "0" else '{"type": "CompilationUnit", "namespace": "n", "usings": [], "classes": [], "interfaces": [], "enums": [], "records": [], "structs": []}')
+
+
+def _some_domains(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: '{"domains": [{"name": "d' + t + '", "reasoning": "r"}]}')
+
+
+@query("T04_levels", "SELECT file_path, CASE WHEN doc_id % 3 = 0 THEN 'Failed' ELSE 'Completed' END AS status, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS n_levels FROM fx_files")
+def _(spark, d):
+    f = fx.view(spark, d, "fx_files").withColumns({"last_modified": F.lit(None).cast("timestamp"), "file_hash": F.sha2("content", 256), "content": (F.col("doc_id") % 3).cast("string")})
+    empty = store.FileStore(spark, iterate.shared_path(spark, "store"))
+    return pipeline.process(f, empty, {"Ast": _some_ast, "DomainKeywords": _some_domains}, "2024-01-01 00:00:00").select("file_path", "status", F.size("level_data").alias("n_levels"))
+
+
+@query("T01_T03_stream", "SELECT status, count(*) AS n, count(DISTINCT worker_id) AS n_workers FROM fx_jobs GROUP BY 1")
+def _(spark, d):
+    jobs, into = fx.view(spark, d, "fx_jobs").select("job_id", "worker_id", "status"), iterate.shared_path(spark, "stream")
+    jobs.repartition(6, "job_id").write.parquet(f"{into}/in")
+    stream = spark.readStream.schema(jobs.schema).option("maxFilesPerTrigger", 2).parquet(f"{into}/in")
+    run = stream.writeStream.format("parquet").option("path", f"{into}/out").option("checkpointLocation", f"{into}/check").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(f"{into}/out").groupBy("status").agg(F.count("*").alias("n"), F.count_distinct("worker_id").alias("n_workers"))
+
+
+@query("F30_R22_observations", """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 3 = 1 THEN event_type ELSE concat('{"k":"', event_type, '"}') END AS observation FROM events""")
+def _(spark, d):
+    i, t = F.col("event_id") % 3, F.col("event_type")
+    return fx.view(spark, d, "events").select("event_id", F.when(i == 0, F.lit("")).when(i == 1, t).otherwise(F.to_json(F.create_map(F.lit("k"), t))).alias("observation"))
