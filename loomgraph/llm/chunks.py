@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import json
 import re
@@ -16,7 +18,7 @@ import pyarrow.compute as pc
 #: Entries of a table before rare ones go: bounds a worker's memory (about 250 MB).
 TABLE_LIMIT = 1_000_000
 #: Bytes of text that are worked on at a time; a single text is never cut.
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 1_500_000
 
 
 class _Index(dict):
@@ -53,7 +55,7 @@ class ChunkTable:
         if index.new:
             self._add(self.encode(index.new))
             index.new = []
-        self.hits[: len(index)] += np.bincount(rows, minlength=len(index))
+        self.hits[rows] += 1  # once for each lookup that has the chunk
         return rows
 
     def lookup(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +64,7 @@ class ChunkTable:
         return gather(self.flat, self.start[rows], self.count[rows]), self.count[rows]
 
     def _thin_out(self) -> np.ndarray:
-        """Keeps the chunks met more than once, half as many as the limit allows at most; returns their former places."""
+        """Keeps the chunks met in more than one lookup, half as many as the limit allows at most; returns their former places."""
         n = len(self.index)
         hits = self.hits[:n]
         most = np.argsort(-hits, kind="stable")[: self.limit // 2]
@@ -163,6 +165,14 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+def give_back() -> None:
+    """Returns to the system what a task has freed: workers live on, and otherwise keep the most that any task needed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library cannot trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class HubTable(ChunkTable):
     """A chunk table over a tokenizers file. cut() follows the file's pre-tokenizer.
 

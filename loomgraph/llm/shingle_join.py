@@ -8,12 +8,14 @@ Packed R-trees over such points prune pairs, and what survives is verified on th
 Alone, R-trees do not scale here: boxes of unrelated documents overlap in hundreds of dimensions, and a search visits nearly all. So
 trees stand over cells, whose choice loses no link: in one fixed order of all shingles, two sets with Jaccard similarity of
 3/4 or more share one of their first n - ceil(3n/4) + 1 shingles. The order puts frequent shingles last (by a filter of fixed
-size that all tasks share), so shared passages rarely make cells. Links are found in two rounds: first each class is
-compared with one neighbour in a cell of its own; then, in each cell whose classes are not yet one component, trees
-compare classes of different components, and no others. Every pair of a cell is thus linked, pruned or verified, or lies within a component.
+size that all tasks share), so shared passages rarely make cells. Links are found in three rounds: first each class is
+compared with the closest of the middle classes of a few cells; then, where a cell holds much of one component, its other
+classes are compared with all of that component, once; last, trees compare what is left of each cell, classes of different components
+alone. Every pair of a cell is thus linked, pruned or verified, or lies within a component.
 
 Null, empty and wordless texts have the empty set, and link with nothing. Rows that share a doc_id are one document if their texts agree,
-and otherwise belong to one component. Repeated rows are returned as often as they occur. A null doc_id is an error. Empty tables give no rows.
+and otherwise belong to one component. Repeated rows are returned as often as they occur. A row without doc_id links with nothing, and has no component. Empty
+tables give no rows.
 """
 
 from __future__ import annotations
@@ -31,11 +33,11 @@ from . import chunks
 from .common import Stored, n_parts, text_or_empty
 from .components import components
 
-WORDS, GROUPS = 5, 256
-#: Documents with a shingle from which on it is frequent; bits of the filter that holds frequent ones (8 MB).
-FREQUENT, FILTER_BITS = 32, 1 << 26
-#: Documents to a bucket of postings, first keys of a document that look for its neighbour, points to a leaf of a tree, classes to a block of a cell.
-BUCKET_DOCS, NEIGHBOUR_KEYS, LEAF, BLOCK = 8192, 4, 16, 2048
+WORDS, GROUPS = 5, 256  # groups of small sets, and of the trees
+#: Documents with a shingle (as tasks met it more than once) from which on it is frequent; bits of the filter that holds frequent ones (8 MB).
+FREQUENT, FILTER_BITS = 8, 1 << 26
+#: Documents to a bucket of postings, first rare and first frequent keys of a document whose cells look for its closest, middle classes of a cell, points to a leaf of a tree, classes to a block of a cell.
+BUCKET_DOCS, EARLY_KEYS, MIDDLE, LEAF, BLOCK = 8192, 4, 4, 16, 2048
 # odd multipliers, one for each word of a shingle
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -47,7 +49,7 @@ def words_of(text: str) -> list[bytes]:
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -73,24 +75,43 @@ def shingles(words: list[bytes], hashes: dict[bytes, int]) -> np.ndarray:
 
 
 def counts_of(sets: np.ndarray) -> bytes:
-    """The point of a set: counts by the top byte of the hashes, each in 8 or 32 bits."""
-    c = np.bincount((sets >> np.uint64(56)).astype(np.int64), minlength=GROUPS)
-    return c.astype(np.uint8 if c.max() < 256 else "<u4").tobytes()
+    """The point of a set: counts by the top bits of the hashes, each in 8 or 32 bits after a byte that tells which.
+
+    The larger a set, the more groups: 4 to 16 shingles share one, so that counts of unrelated sets differ.
+    """
+    bits = 8
+    while len(sets) >> bits >= 4 and bits < 14:
+        bits += 2
+    c = np.bincount((sets >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    small = c.max() < 256
+    return bytes([1 if small else 4]) + c.astype(np.uint8 if small else "<u4").tobytes()
+
+
+def point(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, np.uint8 if blob[0] == 1 else "<u4", offset=1).astype(np.int32)
 
 
-def points(blobs: list[bytes]) -> np.ndarray:
-    return np.stack([np.frombuffer(b, np.uint8 if len(b) == GROUPS else "<u4").astype(np.int32) for b in blobs])
+def folded(point: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """The same point with fewer groups."""
+    return point.reshape(groups, -1).sum(1)
 
 
-def prefix(sets: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The set's first n - ceil(3n/4) + 1 hashes, frequent ones last, in order."""
+def overlap(p: np.ndarray, q: np.ndarray) -> int:
+    """The bound on the overlap of two sets by their points, in the groups of the coarser one."""
+    groups = min(len(p), len(q))
+    return int(np.minimum(folded(p, groups), folded(q, groups)).sum())
+
+
+def prefix(sets: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int]:
+    """The set's first n - ceil(3n/4) + 1 hashes, frequent ones last, in order; and how many are not frequent."""
     n = len(sets)
     keep = n - -(-3 * n // 4) + 1
     mask = np.uint64(FILTER_BITS - 1)
     one, two = sets & mask, (sets >> np.uint64(32)) & mask
     hot = _bit(frequent, one) & _bit(frequent, two)
-    cold = sets[~hot]
-    return cold[:keep] if len(cold) >= keep else np.concatenate([cold, sets[hot][: keep - len(cold)]])
+    # copies: a slice would hold all of the set
+    rare = sets[~hot][:keep].copy()
+    return (rare, len(rare)) if len(rare) == keep else (np.concatenate([rare, sets[hot][: keep - len(rare)]]), len(rare))
 
 
 def _bit(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -103,7 +124,7 @@ class _Firsts(set):
     def first(self, key) -> bool:
         if key in self:
             return False
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self.add(key)
         return True
@@ -131,13 +152,15 @@ def survey(df: DataFrame) -> DataFrame:
             columns = [docs, [c[0] for c in classes], [c[1] for c in classes], [len(s) for s in sets], [counts_of(s) if len(s) else None for s in sets]]
             yield rows(columns, [None, None])
             for c, s in zip(classes, sets, strict=True):
-                if firsts.first(c):
+                if firsts.first((c[0] << 64) ^ c[1]):
                     seen.append(s)
                     size += len(s)
-            if size > 4_000_000:
+            if size > 1_500_000:
                 yield often(seen)
                 seen, size = [], 0
         yield often(seen)
+        del seen, hashes, firsts
+        chunks.give_back()
 
     def often(seen):
         values, times = np.unique(np.concatenate(seen) if seen else np.zeros(0, np.uint64), return_counts=True)
@@ -150,8 +173,7 @@ def survey(df: DataFrame) -> DataFrame:
         columns = [pa.nulls(n, k) if c is None else pa.array(c, k) for c, k in zip([*left, *right], kinds, strict=True)]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "hi", "lo", "n", "point", "shingle", "times"])
 
-    checked = df.select(F.expr("coalesce(cast(doc_id as long), raise_error('a document has no doc_id'))").alias("doc_id"), "text")
-    return text_or_empty(checked).mapInArrow(run, "doc_id long, hi long, lo long, n long, point binary, shingle long, times long")
+    return text_or_empty(df).mapInArrow(run, "doc_id long, hi long, lo long, n long, point binary, shingle long, times long")
 
 
 def bit_filter(values: DataFrame) -> np.ndarray:
@@ -171,23 +193,26 @@ def postings(df: DataFrame, frequent, buckets: int) -> DataFrame:
         hashes, firsts, held, size = _Hashes(), _Firsts(), [], 0
         for _, found, classes in _documents(batches):
             for words, c in zip(found, classes, strict=True):
-                if words and firsts.first(c):
+                if words and firsts.first((c[0] << 64) ^ c[1]):
                     sets = shingles(words, hashes)
-                    keys = prefix(sets, frequent.value)
-                    held.append((keys, c[1], len(sets)))
+                    keys, rare = prefix(sets, frequent.value)
+                    held.append((keys, c[1], len(sets), rare))
                     size += len(keys)
-            if size > 1_000_000:
+            if size > 600_000:
                 yield from out(held)
                 held, size = [], 0
         yield from out(held)
+        del held, hashes, firsts
+        chunks.give_back()
 
     def out(held):
         if not held:
             return
-        counts = [len(k) for k, _, _ in held]
-        keys = np.concatenate([k for k, _, _ in held])
-        lo, n = np.repeat(np.array([c for _, c, _ in held], np.int64), counts), np.repeat(np.array([s for _, _, s in held], np.uint32), counts)
-        place = np.concatenate([np.minimum(np.arange(c), 255) for c in counts]).astype(np.uint8)
+        counts = [len(h[0]) for h in held]
+        keys = np.concatenate([h[0] for h in held])
+        lo, n = np.repeat(np.array([h[1] for h in held], np.int64), counts), np.repeat(np.array([h[2] for h in held], np.uint32), counts)
+        # places count anew from the first frequent key on, which copies share while their rare ones may be edits
+        place = np.concatenate([np.minimum(np.concatenate([np.arange(r), np.arange(c - r)]), 255) for c, (_, _, _, r) in zip(counts, held, strict=True)]).astype(np.uint8)
         bucket = ((keys >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(bucket[order])) + 1
@@ -207,7 +232,7 @@ def _open(blobs: list[bytes]) -> list[np.ndarray]:
 
 
 def cells(posted: DataFrame) -> DataFrame:
-    """Rows (cell, members) of sets of classes that share a key, and rows (a, b, place) of a class and its neighbour in size."""
+    """Rows (cell, members): sets of classes that share a key; and rows (cell, lo): the cells of each class's first keys."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         keys, lo, n, place = _open(table.column("blob").to_pylist())
@@ -220,24 +245,54 @@ def cells(posted: DataFrame) -> DataFrame:
         start = np.flatnonzero(~joined)
         size = np.diff(np.concatenate([start, [len(keys)]]))
         start, size = start[size > 1], size[size > 1]
-        near = np.flatnonzero(joined & (place < NEIGHBOUR_KEYS))
-        a, b, at = lo[near], lo[near - 1], place[near]
-        found = {}
+        found, first, early = {}, [], []
         for s, m in zip(start.tolist(), size.tolist(), strict=True):
             members = lo[s : s + m].tobytes()
-            found[xxhash.xxh64_intdigest(members) - (1 << 63)] = members
-        rows = len(found)
+            cell = xxhash.xxh64_intdigest(members) - (1 << 63)
+            if cell not in found:
+                found[cell] = members
+            soon = np.flatnonzero(place[s : s + m] < EARLY_KEYS)
+            if len(soon):
+                first.append(np.full(len(soon), keys[s : s + 1].view(np.int64)[0]))
+                early.append(lo[s + soon])
+        rows, soon = len(found), sum(map(len, first))
         return pa.table(
             {
-                "cell": pa.array([*found, *[None] * len(a)], pa.int64()),
-                "members": pa.array([*found.values(), *[None] * len(a)], pa.binary()),
-                "a": pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(a, pa.int64())]),
-                "b": pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(b, pa.int64())]),
-                "place": pa.concat_arrays([pa.nulls(rows, pa.int32()), pa.array(at, pa.int32())]),
+                "cell": pa.array(np.concatenate([np.fromiter(found, np.int64, rows), *first])),
+                "members": pa.array([*found.values(), *[None] * soon], pa.binary()),
+                "lo": pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(np.concatenate([np.zeros(0, np.int64), *early]))]),
             }
         )
 
-    return posted.groupBy("bucket").applyInArrow(run, "cell long, members binary, a long, b long, place int")
+    return posted.groupBy("bucket").applyInArrow(run, "cell long, members binary, lo long")
+
+
+def closest(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each class and the class closest to it, by points, among the middle ones of its cells: one row per class at most.
+
+    The middle of a cell is where the mean of its points lies. Where classes are copies of one, that one is near it.
+    """
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        rep, n = table.column("rep").to_numpy(), table.column("n").to_numpy()
+        order = np.argsort(rep)
+        rep, n = rep[order], n[order]
+        p = np.stack([folded(point(b)) for b in table.column("point").take(pa.array(order)).to_pylist()])
+        mean = p.mean(0)
+        centre = np.argsort(-np.minimum(p, mean).sum(1) * 2 / (n + mean.sum()), kind="stable")[:MIDDLE]
+        best, near = np.full(len(rep), -1), np.zeros(len(rep))
+        for c in centre.tolist():
+            bound = np.minimum(p, p[c]).sum(1)
+            ratio = np.where(enough(bound, n, n[c]) & (4 * np.minimum(n, n[c]) >= 3 * np.maximum(n, n[c])), bound / (n + n[c]), 0)
+            ratio[c] = 0
+            best = np.where(ratio > near, c, best)
+            near = np.maximum(near, ratio)
+        kept = np.flatnonzero(best >= 0)
+        return pa.table({"a": rep[kept], "b": rep[best[kept]], "near": near[kept]})
+
+    found = members.groupBy("cell").applyInArrow(run, "a long, b long, near double")
+    found = found.groupBy("a").agg(F.max_by("b", F.struct("near", "b")).alias("b"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 class CountTree:
@@ -280,29 +335,78 @@ def enough(overlap, a, b):
 
 
 def join_cells(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes of different components that the trees do not prune, for rows of cell, rep, n, point, component."""
+    """Pairs (a, b) of classes of different components that the points do not prune, for rows of cell, rep, n, point, component.
+
+    Cells beyond BLOCK classes are cut into blocks by hash, of which
+    every two meet; a cell of LEAF classes or fewer is a single leaf, and needs no tree.
+    """
     sizes = members.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("rep", F.lit(5)), F.col("blocks")).cast("int")
     dealt = members.join(sizes, "cell").withColumn("mine", mine).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = dealt.select("cell", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "n", "point", "component")
+    dealt = dealt.select("cell", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "n", "component", "point")
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        i, j = key[1].as_py(), key[2].as_py()
-        rep, n, mine, component = (table.column(c).to_numpy() for c in ("rep", "n", "mine", "component"))
-        p = points(table.column("point").to_pylist())
-        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        a, b = [], []
-        tree = CountTree(p[right], n[right]) if len(right) and len(left) else None
-        for x in left.tolist() if tree else []:
-            y = right[tree.candidates(p[x], int(n[x]))]
-            y = y[(component[y] != component[x]) & ((rep[y] > rep[x]) if i == j else True)]
-            y = y[(4 * np.minimum(n[y], n[x]) >= 3 * np.maximum(n[y], n[x])) & enough(np.minimum(p[y], p[x]).sum(1), n[y], n[x])]
-            a += [rep[x]] * len(y)
-            b += rep[y].tolist()
-        a, b = np.array(a, np.int64), np.array(b, np.int64)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return dealt.groupBy("cell", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            # rows come sorted by group: whole groups are worked on as soon as there is enough
+            held.append(batch)
+            size += batch.num_rows
+            if size >= 30_000:
+                table = pa.Table.from_batches(held)
+                key = [table.column(c).to_numpy() for c in ("cell", "i", "j")]
+                last = np.flatnonzero((key[0] != key[0][-1]) | (key[1] != key[1][-1]) | (key[2] != key[2][-1]))
+                if len(last):
+                    yield pairs_of(table.slice(0, int(last[-1]) + 1))
+                    held = table.slice(int(last[-1]) + 1).to_batches()
+                    size = sum(b.num_rows for b in held)
+        if size:
+            yield pairs_of(pa.Table.from_batches(held))
+        del held
+        chunks.give_back()
+
+    def pairs_of(table):
+        cell, i, j, mine, rep, n, component = (table.column(c).to_numpy() for c in ("cell", "i", "j", "mine", "rep", "n", "component"))
+        blobs = table.column("point").to_pylist()
+        known: dict[int, int] = {}
+        row = np.array([known.setdefault(r, k) for k, r in enumerate(rep.tolist())], np.int64)  # a class's first row
+        fine = {k: point(blobs[k]) for k in known.values()}
+        coarse = np.zeros((len(rep), GROUPS), np.uint16)
+        for k, x in fine.items():
+            coarse[k] = np.minimum(folded(x), 65535)
+        start = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+        size = np.diff(np.concatenate([start, [len(cell)]]))
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for m in range(2, LEAF + 1):
+            at = start[size == m]
+            x, y = np.triu_indices(m, 1)
+            left.append((at[:, None] + x).ravel())
+            right.append((at[:, None] + y).ravel())
+        for s, m in zip(start[size > LEAF].tolist(), size[size > LEAF].tolist(), strict=True):
+            one, two = (s + np.flatnonzero(mine[s : s + m] == b) for b in (i[s], j[s]))
+            if not len(one) or not len(two):
+                continue
+            tree = CountTree(coarse[row[two]], n[two])
+            for x in one.tolist():
+                y = two[tree.candidates(coarse[row[x]], int(n[x]))]
+                left.append(np.full(len(y), x))
+                right.append(y)
+        a, b = np.concatenate(left), np.concatenate(right)
+        kept = (component[a] != component[b]) & (4 * np.minimum(n[a], n[b]) >= 3 * np.maximum(n[a], n[b]))
+        a, b = row[a[kept]], row[b[kept]]
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        both = np.unique(a * len(rep) + b)
+        a, b = both // len(rep), both % len(rep)
+        kept = np.concatenate([enough(np.minimum(coarse[x], coarse[y]).sum(1, dtype=np.int64), n[x], n[y]) for x, y in zip(np.array_split(a, len(a) // 20_000 + 1), np.array_split(b, len(a) // 20_000 + 1), strict=True)])
+        a, b = a[kept], b[kept]
+        bound = np.array([overlap(fine[x], fine[y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)], np.int64)
+        kept = enough(bound, n[a], n[b])
+        a, b = a[kept], b[kept]
+        a, b = rep[a], rep[b]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    dealt = dealt.repartition(parts, "cell", "i", "j").sortWithinPartitions("cell", "i", "j", "rep")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def sets_of(df: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -324,8 +428,9 @@ def sets_of(df: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in (part for whole in passing(batches) for part in chunks.slices(whole)):
             blobs = [shingles(words_of(t), hashes).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["rep", "sets"])
+        chunks.give_back()
 
-    found = text_or_empty(df).withColumn("h", F.xxhash64(F.col("doc_id").cast("long"))).mapInArrow(run, "rep long, sets binary")
+    found = text_or_empty(df.filter("doc_id is not null")).withColumn("h", F.xxhash64(F.col("doc_id").cast("long"))).mapInArrow(run, "rep long, sets binary")
     return found.join(wanted, "rep", "left_semi")
 
 
@@ -348,21 +453,36 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sizes and points allow enough overlap."""
+def against_components(outside: DataFrame, parts: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between classes and the components beside which they stand: rows of rep and component, all that a class links with there, or one for it.
 
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (points(batch.column(i).to_pylist()) for i in (2, 3))
-            nx, ny = x.sum(1), y.sum(1)
-            hit = enough(np.minimum(x, y).sum(1), nx, ny)
-            yield batch.select([0, 1]).filter(pa.array(hit))
+    A component's members are cut into blocks by hash, each class goes to all of them, and overlaps with a block's members are
+    counted through the block's inverted lists: no pair leaves its task but a link for each class and block.
+    """
+    inside = parts.select(F.col("node").alias("rep"), "component").join(outside.select("component").distinct(), "component", "left_semi")
+    blocks = inside.groupBy("component").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    inside = inside.join(blocks, "component").select("component", F.pmod(F.xxhash64("rep", F.lit(9)), F.col("blocks")).cast("int").alias("block"), "rep", F.lit(True).alias("inside"))
+    outside = outside.join(blocks, "component").select("component", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "rep", F.lit(False).alias("inside"))
+    dealt = inside.unionByName(outside).join(sets, "rep")
 
-    left = classes.select(F.col("rep").alias("a"), F.col("point").alias("pa"))
-    right = classes.select(F.col("rep").alias("b"), F.col("point").alias("pb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long")
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        rep, inner = table.column("rep").to_numpy(), table.column("inside").to_numpy()
+        each = [np.frombuffer(b, np.uint64) for b in table.column("sets").to_pylist()]
+        there = np.flatnonzero(inner)
+        size = np.array([len(each[k]) for k in there], np.int64)
+        hashes = np.concatenate([each[k] for k in there]) if len(there) else np.zeros(0, np.uint64)
+        order = np.argsort(hashes, kind="stable")
+        hashes, owner = hashes[order], np.repeat(np.arange(len(there)), size)[order]
+        links = []
+        for k in np.flatnonzero(~inner).tolist() if len(there) else []:
+            first, last = np.searchsorted(hashes, each[k], "left"), np.searchsorted(hashes, each[k], "right")
+            common = np.bincount(chunks.gather(owner, first, last - first), minlength=len(there))
+            hit = np.flatnonzero(enough(common, size, len(each[k])))
+            if len(hit):
+                links.append((rep[k], rep[there[hit[0]]]))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return dealt.groupBy("component", "block").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, stored: Stored) -> DataFrame:
@@ -373,25 +493,35 @@ def near_duplicates(df: DataFrame, stored: Stored) -> DataFrame:
     frequent = seen.filter("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")).filter(F.col("times") >= FREQUENT)
     frequent = spark.sparkContext.broadcast(bit_filter(frequent.select("shingle")))
     # any_value: the sets of a class agree
-    classes = docs.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("point").alias("point"))
+    classes = docs.filter("doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("point").alias("point"))
     classes = stored.put(classes, "classes")
     found = stored.put(cells(postings(df, frequent, n_parts(df.count(), BUCKET_DOCS, most=200_000))), "cells")
 
     names = classes.filter("n > 0").select("lo", "rep")
-    first = found.filter("a is not null").groupBy("a").agg(F.min_by("b", F.struct("place", "b")).alias("b"))
-    first = first.join(names.withColumnsRenamed({"lo": "a", "rep": "ra"}), "a").join(names.withColumnsRenamed({"lo": "b", "rep": "rb"}), "b")
-    first = first.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).filter("a <> b").distinct()
     shapes = classes.filter("n > 0").select("rep", "point", "n").dropDuplicates(["rep", "n", "point"])
-    first = stored.put(bounded(first, shapes), "first-pairs")
+    early = found.filter("lo is not null").select("cell", "lo").join(names, "lo").select("cell", "rep").distinct()
+    first = stored.put(closest(early.join(shapes, "rep")), "first-pairs")
     links = stored.put(checked(df, first, stored, "first"), "first-links")
 
-    parts = components(links, stored)
-    sets = found.filter("cell is not null").groupBy("cell").agg(F.any_value("members").alias("members"))
+    sets = found.filter("members is not null").groupBy("cell").agg(F.any_value("members").alias("members"))
     members = sets.mapInArrow(_unpack, "cell long, lo long").join(names, "lo").select("cell", "rep").distinct()
-    members = members.join(parts, F.col("rep") == F.col("node"), "left").select("cell", "rep", F.coalesce("component", "rep").alias("component"))
-    members = stored.put(members, "members")
-    mixed = members.groupBy("cell").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("cell")
-    second = join_cells(members.join(mixed, "cell", "left_semi").join(shapes, "rep"))
+    parts = components(links, stored)
+    placed = members.join(parts, F.col("rep") == F.col("node"), "left").select("cell", "rep", F.coalesce("component", "rep").alias("component"))
+    shares = placed.groupBy("cell", "component").agg(F.count("*").alias("n"))
+    mixed = shares.groupBy("cell").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("all")).filter("most < all")
+    mixed = stored.put(placed.join(mixed, "cell"), "mixed")
+    # in a large cell with a large component, the others meet that component once, whatever the number of cells they share with it
+    large = (F.col("most") > LEAF) & (F.col("all") > 4 * LEAF)
+    outside = mixed.filter(large & (F.col("component") != F.col("largest"))).select("rep", F.col("largest").alias("component")).distinct()
+    outside = stored.put(outside, "outside")
+    if not outside.isEmpty():
+        beside = parts.join(outside.select("component").distinct(), "component", "left_semi").select(F.col("node").alias("rep"))
+        known = stored.put(sets_of(df, stored.put(beside.union(outside.select("rep")).distinct(), "beside-wanted")), "beside-sets")
+        links = stored.put(links.union(against_components(outside, parts, known)), "outside-links")
+        parts = components(links, stored)
+        mixed = mixed.filter(~large | (F.col("component") != F.col("largest"))).drop("component").join(parts, F.col("rep") == F.col("node"), "left")
+        mixed = mixed.select("cell", "rep", F.coalesce("component", "rep").alias("component"))
+    second = join_cells(mixed.select("cell", "rep", "component").join(shapes, "rep"))
     second = stored.put(second.join(first, ["a", "b"], "left_anti"), "second-pairs")
     links = links.union(checked(df, second, stored, "second"))
     # rows of one doc_id with different texts are one node already; classes of one sequence are one row of classes
@@ -414,6 +544,8 @@ def one_of_each(df: DataFrame, stored: Stored) -> DataFrame:
 def checked(df: DataFrame, pairs: DataFrame, stored: Stored, name: str) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
     wanted = stored.put(wanted, f"{name}-wanted")
+    if wanted.isEmpty():
+        return pairs
     return verify(pairs, stored.put(sets_of(df, wanted), f"{name}-sets"))
 
 

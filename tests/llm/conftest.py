@@ -14,6 +14,8 @@ ROWS = [
     (9, "x" * 30_000, "en", 0),
     (10, "a@b.c@d.e.f 1.2.3.4.5 300.1.1.1 000000255.1.1.1 +1 " + "7" * 4000, "es", 0),
     (11, "same words again " * 2000, "en", 0),
+    (None, "no id here, but words enough for a shingle", "en", 0),
+    (None, "no id here, but words enough for a shingle", "en", 0),
     (12, "ça va▁où\x00nul\u0085x y", "fr", 0),
 ]
 KINDS = "doc_id long, text string, lang string, ids int, source string, n_chars long, rep string, key string, words string, sets string, base string"
@@ -58,6 +60,13 @@ def sample(spark):
                 text[rnd.randrange(len(text))] = rnd.choice(words)
             docs.append((n, " ".join(text).upper() if rnd.random() < 0.2 else " ".join(text)))
             n += 1
+    base = rnd.choices(words, k=90)
+    for _ in range(70):
+        text = list(base)
+        for _ in range(rnd.choice([1, 2, 3, 4, 5])):
+            text[rnd.randrange(len(text))] = rnd.choice(words)
+        docs.append((n, " ".join(text)))
+        n += 1
     for _ in range(60):
         docs.append((n, passage + " " + " ".join(rnd.choices(words, k=rnd.choice([3, 8, 12, 15, 30])))))
         n += 1

@@ -176,10 +176,10 @@ def test_near_vectors(spark, stored, block):
     x = rng.normal(size=(60, 16))
     x = np.concatenate([x, x[:30] + rng.normal(size=(30, 16)) * 0.25, x[:5], np.tile(x[0], (20, 1)) + rng.normal(size=(20, 16)) * 0.05]).astype(np.float32)
     rows = [(i, v.tolist(), i % 2) for i, v in enumerate(x)]
-    rows += [(1000, None, 1), (1001, [0.0] * 16, 1), (1002, [float("nan")] + [1.0] * 15, 1), (1003, [None] + [1.0] * 15, 1), (1004, x[0].tolist(), None), (1005, [], 1), (1006, [float("inf")] * 16, 1), (1007, [1.0, 2.0], 0), (1008, [1.0, 2.0], 0), (0, x[0].tolist(), 0)]
+    rows += [(1000, None, 1), (1001, [0.0] * 16, 1), (1002, [float("nan")] + [1.0] * 15, 1), (1003, [None] + [1.0] * 15, 1), (1004, x[0].tolist(), None), (1005, [], 1), (1006, [float("inf")] * 16, 1), (None, [1.0, 2.0], 0), (1007, [1.0, 2.0], 0), (1008, [1.0, 2.0], 0), (0, x[0].tolist(), 0)]
     got = near_vectors.near_duplicates(vectors(spark, rows), stored, block=block, shared=1).collect()
     assert len(got) == len(rows)
-    good = [(i, np.array(v, np.float64), k) for i, v, k in rows if k is not None and v and all(a is not None and np.isfinite(a) for a in v) and any(v)]
+    good = [(i, np.array(v, np.float64), k) for i, v, k in rows if i is not None and k is not None and v and all(a is not None and np.isfinite(a) for a in v) and any(v)]
     links = defaultdict(int)
     pairs = []
     for a in range(len(good)):
@@ -191,8 +191,8 @@ def test_near_vectors(spark, stored, block):
                 pairs.append((i, j))
     root = components.union(pairs)
     want = Counter((i, links[n], root.get(i, i)) for n, (i, _, _) in enumerate(good))
-    assert Counter((r.vec_id, r.n_links, r.component_id) for r in got if r.vec_id < 1000 or r.vec_id in (1007, 1008)) == want
-    assert all(r.n_links == 0 and r.kept for r in got if 1000 <= r.vec_id < 1007)
+    assert Counter((r.vec_id, r.n_links, r.component_id) for r in got if r.vec_id is not None and (r.vec_id < 1000 or r.vec_id in (1007, 1008))) == want
+    assert all(r.n_links == 0 and r.kept for r in got if r.vec_id is None or 1000 <= r.vec_id < 1007)
 
 
 def test_no_vectors(spark, stored):
@@ -254,8 +254,9 @@ def test_ablations(odd):
 
 
 def test_shingle_join(spark, stored, sample, monkeypatch):
-    for frequent in (32, 4):
-        monkeypatch.setattr(shingle_join, "FREQUENT", frequent)
+    for frequent, leaf, block in ((32, 16, 2048), (4, 3, 20)):
+        for name, value in (("FREQUENT", frequent), ("LEAF", leaf), ("BLOCK", block)):
+            monkeypatch.setattr(shingle_join, name, value)
         got = shingle_join.near_duplicates(spark.createDataFrame(sample, "doc_id long, text string").repartition(5), stored).collect()
         sets = {}
         for i, t in sample:
@@ -273,9 +274,9 @@ def test_shingle_join(spark, stored, sample, monkeypatch):
 def test_shingle_join_odd_rows(spark, odd, empty, stored):
     got = shingle_join.near_duplicates(odd, stored).collect()
     assert Counter(r.doc_id for r in got) == Counter(i for i, *_ in ROWS)
-    assert {(r.doc_id, r.component_id) for r in got if r.doc_id <= 8} == {(1, 1), (2, 1), (3, 3), (4, 4), (5, 5), (6, 6), (7, 7), (8, 8)}
+    assert {(r.doc_id, r.component_id) for r in got if r.doc_id is not None and r.doc_id <= 8} == {(1, 1), (2, 1), (3, 3), (4, 4), (5, 5), (6, 6), (7, 7), (8, 8)}
     kept = shingle_join.one_of_each(odd, stored)
-    assert kept.columns == odd.columns and Counter(r.doc_id for r in kept.collect()) == Counter({i for i, *_ in ROWS} - {2})
+    assert kept.columns == odd.columns and Counter(r.doc_id for r in kept.collect()) == Counter([None, None, *{i for i, *_ in ROWS} - {2, None}])
     assert shingle_join.near_duplicates(empty, stored).collect() == [] and shingle_join.one_of_each(empty, stored).collect() == []
 
 
@@ -300,11 +301,11 @@ def test_tree_prunes_nothing_that_overlaps():
 def test_token_output(spark, odd, empty):
     t = tokenizer(BYTE)
     path = token_output.encode_write(spark, odd, BYTE)
-    got = sorted((r.doc_id, r.start, bytes(r.ids)) for r in token_output.read_shards(spark, path).collect())
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.start, bytes(r.ids)) for r in token_output.read_shards(spark, path).collect())
     at, want = 0, []
-    for i, text, *_ in ROWS:
+    for i, text, *_ in sorted(ROWS, key=lambda r: -1 if r[0] is None else r[0]):
         ids = t.encode(text or "", add_special_tokens=False).ids + [0]
-        want.append((i, at, np.array(ids, "<u4").tobytes()))
+        want.append((-1 if i is None else i, at, np.array(ids, "<u4").tobytes()))
         at += len(ids)
     assert got == sorted(want)
     block = token_output.Block(bytes(spark.read.parquet(path).first().payload))
@@ -360,7 +361,7 @@ def test_secrets(spark, odd, empty, stored):
         want[i, ",".join(f"{name}:{a}:{b}" for a, _, name, b in sorted(found))] += 1
     assert Counter((r.doc_id, ",".join(s for s in r["all"].split(",") if not s.startswith("random"))) for r in got) == want
     text = {i: t for i, t, *_ in rows}
-    marked = [text[r.doc_id][s.start : s.end] for r in got if r.doc_id >= 100 for s in r.spans if s.kind == "random"]
+    marked = [text[r.doc_id][s.start : s.end] for r in got if (r.doc_id or 0) >= 100 for s in r.spans if s.kind == "random"]
     assert sum(len(m) == 48 for m in marked) > 250 and not any(m.startswith("getUser") for m in marked)
     assert secrets.scan(empty, stored).collect() == []
     assert len(secrets.scan(odd, stored).collect()) == len(ROWS)
