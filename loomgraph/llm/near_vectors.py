@@ -8,7 +8,7 @@ Exact copies are one class, compared once. Lists beyond BLOCK classes are cut in
 meet in a task of their own, so a list of any length is compared whole by many tasks. Pairs stay in their task: it returns for each
 vector how many others it links with, and a spanning forest of the links.
 
-Rows whose label or vector is null, or whose vector is empty, zero or has null or non-finite components, link with nothing. Vectors of
+Rows whose vec_id, label or vector is null, or whose vector is empty, zero or has null or non-finite components, link with nothing. Vectors of
 different length do not link. Repeated rows are vectors of their own, and copies of each other. Empty tables give no rows.
 """
 
@@ -29,7 +29,7 @@ PIVOT_EVERY, PIVOTS, PREFIX, SHARED, BLOCK = 100, (64, 2048), 8, 2, 2048
 
 def usable() -> Column:
     finite = "not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(embedding, x -> x <> 0)"
-    return F.expr(f"label is not null and embedding is not null and {finite}")
+    return F.expr(f"vec_id is not null and label is not null and embedding is not null and {finite}")
 
 
 def _pivots(classes: DataFrame, dim: int, n: int) -> np.ndarray:
@@ -111,4 +111,4 @@ def near_duplicates(df: DataFrame, stored: Stored, least: float = 0.93, **index)
     each = each.select("label", "embedding", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     out = good.join(each, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = rows.filter(~F.coalesce(usable(), F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return out.union(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return out.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -11,7 +11,7 @@ symbols in bytes, three zeros), left and right sides of the rules (unsigned 32-b
 first symbol and first id of each document and of the end (unsigned 32-bit), doc_ids (signed 64-bit), symbols.
 
 Null texts count as empty; an empty text is its end id alone. Repeated rows are written as often as they occur, ordered by text
-where doc_ids tie. Rows with a null doc_id are refused by an error: they have no place in the order. An empty table gives no blocks.
+where doc_ids tie. Rows without doc_id come first; the least long stands for none in the format. An empty table gives no blocks.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from . import chunks
 from .common import new_path, n_parts, text_or_empty
 
+#: Stands for a null doc_id.
+NO_ID = -(1 << 63)
 MAGIC, HEADER = b"RPB1", "<8I"
 #: Documents to a shard, ids to a block, rounds of replacement, least uses of a new rule, least gain of a round that calls for another.
 SHARD_DOCS, BLOCK_IDS, ROUNDS, LEAST_USES, LEAST_GAIN = 4096, 1 << 20, 6, 12, 0.03
@@ -102,7 +104,7 @@ def expansion_lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
 def write_block(doc_ids: list[int], ids: list[np.ndarray], terminals: int) -> bytes:
     """A payload of these documents' ids."""
     counts = np.array([len(x) for x in ids], np.int64)
-    flat = np.concatenate(ids).astype(np.int64)
+    flat = np.concatenate(ids)
     last = np.zeros(len(flat), bool)
     last[np.cumsum(counts) - 1] = True
     symbols, last, rules = repair(flat, last, terminals)
@@ -178,7 +180,7 @@ class Block:
 
 def write_shards(df: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, shard_docs: int = SHARD_DOCS, block_ids: int = BLOCK_IDS) -> None:
     """Writes the documents' ids in ascending doc_id order."""
-    df = df.select(F.expr("coalesce(doc_id, raise_error('a null doc_id has no place in the order'))").cast("long").alias("doc_id"), "text")
+    df = df.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long").alias("doc_id"), "text")
     ordered = text_or_empty(df).repartitionByRange(n_parts(df.count(), shard_docs), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches):
@@ -237,7 +239,8 @@ def map_documents(spark: SparkSession, path: str, work: Callable[[np.ndarray], l
                 columns = [pa.array(c, f.type) for c, f in zip([block.doc_ids, first + block.start[:-1], *made], kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, schema=kinds)
 
-    return blocks.join(starts, ["shard", "block"]).select("first", "payload").mapInArrow(run, out)
+    found = blocks.join(starts, ["shard", "block"]).select("first", "payload").mapInArrow(run, out)
+    return found.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
