@@ -44,14 +44,14 @@ class ChunkTable:
     def reset(self) -> None:
         self.index = _Index()
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
-        self.start, self.count, self.hits = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64)
+        self.start, self.count, self.hits = (np.zeros(1 << 16, np.int32) for _ in range(3))
 
     def rows(self, chunks: list[str]) -> np.ndarray:
         """The chunks' places in the table, which takes in those that are new."""
         if len(self.index) > self.limit:
             self._thin_out()
         index = self.index
-        rows = np.fromiter(map(index.__getitem__, chunks), np.int64, len(chunks))
+        rows = np.fromiter(map(index.__getitem__, chunks), np.int32, len(chunks))
         if index.new:
             self._add(self.encode(index.new))
             index.new = []
@@ -99,7 +99,8 @@ def gather(flat: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray
     """The slices flat[start:start + count], one after another."""
     ends = np.cumsum(count, dtype=np.int64)
     total = int(ends[-1]) if len(ends) else 0
-    return flat[np.repeat(start - (ends - count), count) + np.arange(total)]
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    return flat[np.repeat((start - (ends - count)).astype(kind), count) + np.arange(total, dtype=kind)]
 
 
 def slices(batch: pa.RecordBatch, column: int = 1, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
