@@ -121,6 +121,7 @@ def _base(df: DataFrame) -> DataFrame:
             near = [[dict(zip(("entity", "term", "context"), c, strict=True)) for c in contexts(t, s)] for t, s in zip(texts, spans, strict=True)]
             found = [[dict(zip(("rank", "start", "end"), s, strict=True)) for s in one] for one in spans]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(kinds)), pa.array(near, pa.list_(beside))], ["key", "doc_id", "base", "near"])
+        chunks.give_back()
 
     return _texts(df).mapInArrow(run, "key long, doc_id long, base array<struct<rank: int, start: int, end: int>>, near array<struct<entity: long, term: string, context: long>>")
 
@@ -173,6 +174,8 @@ def _counts(df: DataFrame, bits) -> DataFrame:
                 yield rows(known, counts)
                 counts.clear()
         yield rows(known, counts)
+        del known, counts
+        chunks.give_back()
 
     def rows(known, counts):
         kept = [(t, n) for t, n in counts.items() if known[t]]
@@ -193,6 +196,8 @@ def _hits(df: DataFrame, bits) -> DataFrame:
                     out += [(key, t, m.start(), m.end()) for m in _TERM.finditer(text) if known[t := m[0].lower()]]
             kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["key", "term", "start", "end"])
+        del known
+        chunks.give_back()
 
     return _texts(df).mapInArrow(run, "key long, term string, start int, end int")
 

@@ -17,7 +17,6 @@ import math
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -263,16 +262,19 @@ def score(df: DataFrame, model: Model) -> DataFrame:
         model = shared.value
         for batch in (part for whole in batches for part in chunks.slices(whole)):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(batch.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
+        chunks.give_back()
 
     return text_or_empty(df).mapInArrow(run, "doc_id long, score double")
 
 
 def clean_rows(df: DataFrame, model: Model, most: float = 0.5) -> DataFrame:
     """The rows, with all their columns, that score below most."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared, at = df.sparkSession.sparkContext.broadcast(model), df.columns.index("text")
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.score(["" if t is None else t for t in texts]))
+    def run(batches):
+        for batch in (part for whole in batches for part in chunks.slices(whole, at)):
+            scores = shared.value.score(["" if t is None else t for t in batch.column(at).to_pylist()])
+            yield batch.filter(pa.array(scores < most))
+        chunks.give_back()
 
-    return df.filter(scored("text") < most)
+    return df.mapInArrow(run, df.schema)
