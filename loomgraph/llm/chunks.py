@@ -155,8 +155,9 @@ WHOLE = "\0"
 _ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 #: The two pre-tokenizers that are known here, as their files state them.
 WORD_PATTERN = _ENDINGS + r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_WORD = re.compile(rf"{_ENDINGS}|[{_LETTERS}]+|[0-9]|[{_OTHERS}]+")
-_BYTE = re.compile(rf"{_ENDINGS}| ?[{_LETTERS}]+| ?[0-9]+| ?[{_OTHERS}]+|[ \n]+(?![^ \n])|[ \n]+")
+# letters before endings: an ending starts with an apostrophe, so their order does not matter
+_WORD = re.compile(rf"[{_LETTERS}]+|{_ENDINGS}|[0-9]|[{_OTHERS}]+")
+_BYTE = re.compile(rf" ?[{_LETTERS}]+|{_ENDINGS}| ?[0-9]+| ?[{_OTHERS}]+|[ \n]+(?![^ \n])|[ \n]+")
 
 
 def _byte_letters() -> list[str]:

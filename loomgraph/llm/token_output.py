@@ -33,7 +33,9 @@ from .common import new_path, n_parts, text_or_empty
 NO_ID = -(1 << 63)
 MAGIC, HEADER = b"RPB1", "<8I"
 #: Documents to a shard, ids to a block, rounds of replacement, least uses of a new rule, least gain of a round that calls for another.
-SHARD_DOCS, BLOCK_IDS, ROUNDS, LEAST_USES, LEAST_GAIN = 4096, 1 << 20, 6, 12, 0.03
+SHARD_DOCS, BLOCK_IDS, ROUNDS, LEAST_USES, LEAST_GAIN = 4096, 1 << 20, 6, 12, 0.06
+#: Chunks that a worker keeps (about 300 MB).
+TABLE_LIMIT = 1_500_000
 _SLOT_BITS = 18
 
 
@@ -187,7 +189,7 @@ def write_shards(df: DataFrame, path: str, tokenizer_path: str, end_id: int = 0,
         from pyspark import TaskContext
 
         shard, block = TaskContext.get().partitionId(), 0
-        table = chunks.of_worker(tokenizer_path, lambda: chunks.HubTable(tokenizer_path))
+        table = chunks.of_worker(tokenizer_path, lambda: chunks.HubTable(tokenizer_path, TABLE_LIMIT))
         terminals = max(table.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
         docs, ids, size = [], [], 0
 
