@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from . import chunks
 from .common import n_parts, text_or_empty
 
-#: Documents to a group: some 2.6 MB of ids on average prose.
-GROUP_DOCS = 1024
+#: Documents to a group: some 2.6 MB of ids on average prose. Chunks that a task keeps.
+GROUP_DOCS, TABLE_LIMIT = 1024, 400_000
 _OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 
 
@@ -92,13 +92,15 @@ def token_bytes(df: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """doc_id and each document's ids, little-endian unsigned 32-bit or, if all ids of the vocabulary fit, 16-bit."""
 
     def run(batches):
-        table = chunks.of_worker(tokenizer_path, lambda: chunks.HubTable(tokenizer_path))
+        table = chunks.HubTable(tokenizer_path, TABLE_LIMIT)
         kind = "<u2" if table.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 and end_id < 1 << 16 else "<u4"
         for batch in (part for whole in batches for part in chunks.slices(whole)):
             ids = chunks.encode_texts(table, batch.column(1).to_pylist())
             blobs = [np.append(x, end_id).astype(kind).tobytes() for x in ids]
             width = pa.array([int(kind[-1])] * len(blobs), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary()), width], ["doc_id", "ids", "width"])
+        del table
+        chunks.give_back()
 
     return text_or_empty(df).mapInArrow(run, "doc_id long, ids binary, width int")
 
