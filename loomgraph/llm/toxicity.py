@@ -34,7 +34,8 @@ TREES, DEPTH, RATE, BINS, LEAST_HESSIAN = 80, 3, 0.15, 32, 1.0
 # fixed values: second-person words of the four languages
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch euer tu te toi ton ta tes vous votre vos tú ti tuyo usted ustedes vosotros".split())
 _WORD = re.compile(r"\w+")
-_MIXED = re.compile(r"[^\W\d_]+[0-9@$*!#]+[^\W\d_]+|(?:\b[^\W\d_][ .\-]){3,}[^\W\d_]\b")
+_SPACED = re.compile(r"(?:\b[^\W\d_][ .\-]){3,}[^\W\d_]\b")
+_MIXED = re.compile(r"[^\W\d_]+[0-9@$*!#]+[^\W\d_]+|" + _SPACED.pattern)
 _STRETCHED = re.compile(r"([^\W\d_])\1{3,}")
 _LEET = str.maketrans("013457@$!", "oieastasi")
 _NAMES = ["lexicon1", "lexicon2", "lexicon3", "hits", "mass", "strongest", "near_you", "you", "leet_hits", "capitals", "capital_words", "exclaims", "questions", "punctuation", "mixed", "stretched", "length"]
@@ -61,7 +62,8 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
         near = int((np.minimum(at - padded[places], padded[places + 1] - at) <= NEAR).sum())
     size = max(1, len(text))
     bytes_ = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=128)
-    mixed = _MIXED.findall(text) if bytes_[_OBFUSCATING].any() or size < 2000 else []
+    # without a digit or symbol only the spaced branch can match, so both give the same
+    mixed = (_MIXED if bytes_[_OBFUSCATING].any() else _SPACED).findall(text)
     leet = sum(w in lexicon for m in mixed for w in (re.sub(r"[^\w]", "", m.lower().translate(_LEET)),))
     return [
         *tiers,

@@ -97,6 +97,25 @@ def test_toxicity(spark, odd, empty):
     assert {r.score for r in toxicity.score(odd, nothing).collect()} == {0.0}
 
 
+def test_spaced_letters_in_long_texts():
+    at = [toxicity._NAMES.index(n) for n in ("mixed", "leet_hits")]
+    for insult in ("i d i o t", "i.d.i.o.t", "i-d-i-o-t"):
+        for filler in (10, 400):
+            text = "calm words here " * filler + insult
+            n = len(toxicity.words_of(text))
+            assert [toxicity.features(text, {"idiot": 3.0})[i] * n for i in at] == pytest.approx([1, 1])
+    assert len(text) > 2000
+    # whatever a text's length and symbols, the features are those of the whole pattern
+    import random
+
+    rnd = random.Random(2)
+    for letters in ("ab .-é", "ab .-1@"):
+        for k in (60, 3000):
+            text = "".join(rnd.choices(letters, k=k))
+            n = max(1, len(toxicity.words_of(text)))
+            assert toxicity.features(text, {})[at[0]] == len(toxicity._MIXED.findall(text)) / n
+
+
 def test_isotonic():
     x, y = toxicity.isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]))
     assert y.tolist() == [0.0, 0.5, 1.0] and (np.diff(x) > 0).all()
