@@ -276,6 +276,17 @@ class DependencyGraph:
         out = out.join(place.select(F.col("node_id").alias("src"), F.col("processing_order").alias("source_order")), "src", "left")
         return out.orderBy(F.asc_nulls_last("target_order"), F.asc_nulls_last("source_order"), "dep_ord", "edge_seq")
 
+    def processing_places(self, order: DataFrame) -> DataFrame:
+        """All edges with their place, from 1, in that order. Only the counts of each kind of edge between two levels go through one task."""
+        kind = ["target_order", "source_order", "dep_ord"]
+        edges = self.processing_edges(order)
+        first = Window.orderBy(*map(F.asc_nulls_last, kind)).rowsBetween(Window.unboundedPreceding, -1)
+        counts = edges.groupBy(*kind).agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(first), F.lit(0)))
+        counts = counts.select(*(F.col(k).alias(f"_{k}") for k in kind), "_before")
+        within = F.row_number().over(Window.partitionBy(*kind).orderBy("edge_seq"))
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in kind]
+        return edges.withColumn("_within", within).join(counts, same).withColumn("place", F.col("_before") + F.col("_within")).drop("_before", "_within", *(f"_{k}" for k in kind))
+
 
 def is_system(namespace: Column) -> Column:
     return F.coalesce(namespace, F.lit("")).rlike("^(System|Microsoft|mscorlib)")

@@ -619,6 +619,12 @@ def _(spark, d):
     return x.processing_edges(order).limit(100).select("edge_seq", F.col("target_order").alias("target_level"), F.col("source_order").alias("source_level"))
 
 
+@query("O05_processing_order", "SELECT edge_seq, t.level AS target_level, s.level AS source_level, row_number() OVER (ORDER BY t.level NULLS LAST, s.level NULLS LAST, dep_ord, edge_seq) AS place FROM fx_edges LEFT JOIN lv t ON t.node_id = dst LEFT JOIN lv s ON s.node_id = src", True, LEVELS)
+def _(spark, d):
+    x, order = g(spark, d), _dag(spark, d).dependency_levels.withColumnRenamed("level", "processing_order")
+    return x.processing_places(order).select("edge_seq", F.col("target_order").alias("target_level"), F.col("source_order").alias("source_level"), "place")
+
+
 @query("O06_cache_eviction", "SELECT doc_id FROM fx_files ORDER BY doc_id DESC LIMIT 300")
 def _(spark, d):
     return store.evicted(fx.entries(spark, d), 300, "processed_at").select("doc_id")

@@ -110,3 +110,21 @@ def test_both_forms_of_iteration(spark):
     for work in (lambda n: iterate.reach(e, [0, 9], n), lambda n: iterate.strong_components(e, n), lambda n: iterate.cheapest(e, 0, n).select("node", "cost"), lambda n: iterate.levels(e.select(F.col("src").alias("node_id")), e.filter("src < dst"), n)):
         assert rows(work(0)) == rows(work(1000))
     assert iterate.shortest_chain(e, 0, 5, 0) == iterate.shortest_chain(e, 0, 5) == [0, 1, 2, 3, 4, 5]
+
+
+def test_all_edges_have_a_processing_place(spark, graph):
+    known = spark.createDataFrame([(M, 0), (R, 1)], "node_id string, processing_order int")
+    typed = DependencyGraph(graph.nodes, graph.edges.withColumn("dep_ord", F.lit(1)))
+    rows = sorted(typed.processing_places(known).collect(), key=lambda r: r.place)
+    # ends without a level come last
+    assert [(r.place, r.edge_seq) for r in rows] == [(1, 4), (2, 3), (3, 2), (4, 1)]
+
+
+def test_the_processing_order_is_whole(spark):
+    from loomgraph.plans import fixtures
+    from loomgraph.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    places = [r.place for r in QUERIES["O05_processing_order"](spark, sf).collect()]
+    n = fixtures.view(spark, sf, "fx_edges").count()
+    assert n > 100 and sorted(places) == list(range(1, n + 1))
