@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Context, Decimal
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # fixed values: words that no tool may be called
 KEYWORDS = (
@@ -158,3 +162,44 @@ def snippet(text: Column, start: Column, end: Column, around: int = 5) -> Column
     first = F.greatest(F.lit(1), start - around)
     last = F.least(F.size(lines), end + around)
     return F.array_join(F.slice(lines, first, F.greatest(last - first + 1, F.lit(0))), "\n")
+
+
+@F.pandas_udf(T.StringType())
+def fixed2(x: pd.Series) -> pd.Series:
+    """Two decimals of a double's exact value, halves away from zero, as the original's F2; format_string rounds its shortest decimal form."""
+    wide = Context(prec=400)
+
+    def one(v):
+        d = Decimal(v)
+        if d.is_finite():
+            return str(d.quantize(Decimal("0.01"), ROUND_HALF_UP, wide))
+        return "NaN" if d.is_nan() else "∞" if d > 0 else "-∞"
+
+    return pd.Series([one(float(v)) for v in x], dtype=object)
+
+
+def _f2(x: Column) -> Column:
+    return F.when(x.isNotNull(), fixed2(x.cast("double")))
+
+
+def edge_display(source: Column, member: Column, target: Column, kind: Column, strength: Column, composite: Column, profile: Column, place: Column) -> Column:
+    """source.member -> target (kind) [Composite: …, Profile: …] at place; without a composite [Strength: …], without a place no `at`."""
+    of = F.when(F.coalesce(member, F.lit("")) != "", F.concat(F.lit("."), member)).otherwise("")
+    scored = F.concat(F.lit("[Composite: "), _f2(composite), F.lit(", Profile: "), profile, F.lit("]"))
+    plain = F.concat(F.lit("[Strength: "), _f2(strength), F.lit("]"))
+    at = F.coalesce(F.concat(F.lit(" at "), place), F.lit(""))
+    return F.concat(source, of, F.lit(" -> "), target, F.lit(" ("), kind, F.lit(") "), F.when(composite.isNotNull(), scored).otherwise(plain), at)
+
+
+def node_display(name: Column, project: Column, n_dependencies: Column, n_dependents: Column) -> Column:
+    return F.format_string("%s (%s) - %d deps, %d dependents", name, project, n_dependencies, n_dependents)
+
+
+def finding_display(kind: Column, severity: Column, description: Column, n_affected: Column) -> Column:
+    return F.format_string("%s (%s): %s - %d dependencies affected", kind, severity, description, n_affected)
+
+
+def strength_display(composite: Column, dimensions: dict[str, Column], profile: Column) -> Column:
+    """Composite: … | Structural: … | … | Profile: …, for the dimensions in their order."""
+    parts = [F.concat(F.lit(f"{k.capitalize()}: "), _f2(c)) for k, c in {"composite": composite, **dimensions}.items()]
+    return F.concat_ws(" | ", *parts, F.concat(F.lit("Profile: "), profile))

@@ -753,11 +753,34 @@ def _(spark, d):
     return fx.view(spark, d, "customer").select("c_custkey", text.safe_file_name(F.concat("c_name", F.lit("<T> x"))).alias("name"))
 
 
-@query("F18_display", "SELECT src, dst, count(*) AS n FROM fx_edges GROUP BY ALL HAVING count(*) > 1")
+@query("F18_parallel_edges", "SELECT src, dst, count(*) AS n FROM fx_edges GROUP BY ALL HAVING count(*) > 1")
 def _(spark, d):
     return fx.view(spark, d, "fx_edges").groupBy("src", "dst").agg(F.count("*").alias("n")).filter("n > 1")
 
 
+@query("F18_edge_strings", None)
+def _(spark, d):
+    x = g(spark, d)
+    s, t = (x.nodes.select(F.col("node_id").alias(end), F.col("name").alias(f"{end}_name")) for end in ("src", "dst"))
+    e = x.scored.select("edge_seq", "src", "dst", "member_name", "dep_type", "strength", "composite", "profile", *DIMENSIONS).join(s, "src", "left").join(t, "dst", "left")
+    of, to = (F.coalesce(f"{end}_name", F.col(end).cast("string")) for end in ("src", "dst"))
+    line = text.edge_display(of, F.col("member_name"), to, F.col("dep_type"), F.col("strength"), F.col("composite"), F.col("profile"), F.lit(None).cast("string"))
+    return e.select("edge_seq", line.alias("edge"), text.strength_display(F.col("composite"), {k: F.col(k) for k in DIMENSIONS}, F.col("profile")).alias("strengths"))
+
+
+@query("F18_node_strings", "SELECT node_id, concat(name, ' (', project, ') - ', fan_out, ' deps, ', fan_in, ' dependents') AS node FROM d JOIN fx_nodes USING (node_id)", extra=DEGREES)
+def _(spark, d):
+    x = g(spark, d)
+    rows = x.degrees.select("node_id", "fan_in", "fan_out").join(x.nodes.select("node_id", "name", "project"), "node_id")
+    return rows.select("node_id", text.node_display(F.col("name"), F.col("project"), F.col("fan_out"), F.col("fan_in")).alias("node"))
+
+
+@query("F18_finding_strings", None)
+def _(spark, d):
+    found = metrics.anti_patterns(g(spark, d))
+    return found.select("position", text.finding_display(F.col("type"), F.col("severity"), F.col("description"), F.col("n_affected")).alias("finding"))
+
+
 @query("F19_report", None)
 def _(spark, d):
     return spark.createDataFrame([(metrics.report(g(spark, d)),)], "report string")
@@ -1120,6 +1143,17 @@ def _(spark, d):
     return kept.read().join(gone, "path_key", "left_anti").select("file_path", "status", F.size("level_data").alias("n_levels"))
 
 
+@query("S16_cache_admin", "SELECT count(*) AS file_count, CAST(sum(length(concat('answer ', run_id))) AS BIGINT) AS total_size_bytes FROM (SELECT DISTINCT run_id FROM fx_steps) WHERE run_id % 3 <> 0")
+def _(spark, d):
+    asked = fx.view(spark, d, "fx_steps").select("run_id").distinct().withColumn("request_key", text.request_key(F.struct("run_id")))
+    cache = store.ResponseCache(spark, iterate.shared_path(spark, "responses"))
+    made = F.when(F.col("run_id") % 3 == 0, F.to_timestamp(F.lit("2024-01-01"))).otherwise(F.to_timestamp(F.lit("2024-01-05")))
+    cache.append(asked.select("request_key", F.concat(F.lit("answer "), F.col("run_id").cast("string")).alias("response"), made.alias("created_at")))
+    cache.expire("2024-01-10")
+    # asked of a time when none had expired
+    return cache.statistics("2024-01-02").select("file_count", "total_size_bytes")
+
+
 @query("S15_S16_response_cache", "SELECT run_id, CASE WHEN run_id % 3 <> 0 THEN concat('answer ', run_id) END AS response FROM (SELECT DISTINCT run_id FROM fx_steps)")
 def _(spark, d):
     asked = fx.view(spark, d, "fx_steps").select("run_id").distinct().withColumn("request_key", text.request_key(F.struct("run_id")))

@@ -109,7 +109,15 @@ class ResponseCache:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _fs(self):
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        return jvm, root, root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def read(self, now) -> DataFrame:
+        _, root, fs = self._fs()
+        if not fs.exists(root):
+            return self.spark.createDataFrame([], "request_key string, response string, created_at timestamp, expires_at timestamp")
         return self.spark.read.parquet(self.path).filter(F.col("expires_at").isNull() | (F.col("expires_at") >= F.lit(now)))
 
     def append(self, responses: DataFrame, ttl_days: int = 7) -> None:
@@ -124,3 +132,18 @@ class ResponseCache:
     def statistics(self, now) -> DataFrame:
         size = F.coalesce(F.sum(F.length("response")), F.lit(0))
         return self.read(now).agg(F.count("*").alias("file_count"), size.alias("total_size_bytes"), F.round(size / 1048576.0, 2).alias("total_size_mb"), F.lit(self.path).alias("cache_directory"))
+
+    def clear(self) -> None:
+        _, root, fs = self._fs()
+        fs.delete(root, True)
+
+    def expire(self, now) -> None:
+        """Drops responses that are no longer valid, by a table that takes the place of the old one."""
+        jvm, root, fs = self._fs()
+        if not fs.exists(root):
+            return
+        rest = jvm.org.apache.hadoop.fs.Path(f"{self.path}.rest")
+        self.read(now).write.mode("overwrite").parquet(f"{self.path}.rest")
+        fs.delete(root, True)
+        if not fs.rename(rest, root):
+            raise OSError(f"{self.path}.rest holds the valid responses, but could not take the place of {self.path}")

@@ -139,3 +139,35 @@ def test_json_types(spark):
         assert one(spark, coercion.json_type(F.col("c")), c=value) == kind
     for value, kind, ok in (("2.5", "integer", False), ("2", "integer", True), ("1", "boolean", False), ("False", "boolean", True), ("[1", "array", False), ("x", "nothing", False)):
         assert one(spark, coercion.coercible(F.col("c"), F.col("t")), c=value, t=kind) is ok
+
+
+def test_response_cache_expires_and_clears(spark, tmp_path):
+    cache = ResponseCache(spark, str(tmp_path / "c"))
+    cache.expire("2024-01-10")
+    rows = spark.createDataFrame([("a", "old", "2024-01-01"), ("b", "new", "2024-01-05")], "request_key string, response string, created_at string")
+    cache.append(rows.withColumn("created_at", F.to_timestamp("created_at")))
+    cache.expire("2024-01-10")
+    assert [r.request_key for r in cache.read("2024-01-02").collect()] == ["b"]
+    cache.clear()
+    assert cache.read("2024-01-02").count() == 0 and cache.statistics("2024-01-02").first().file_count == 0
+
+
+def test_display_strings(spark):
+    numbers = [0.125, 0.145, 2.675, -0.001, 1e300, float("nan"), float("inf")]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in numbers], "x double").coalesce(1).select(text.fixed2("x")).collect()]
+    assert got[:4] == ["0.13", "0.14", "2.67", "-0.00"] and got[4].startswith("1000000000000000052504760255204") and got[5:] == ["NaN", "∞"]
+    none = F.lit(None).cast("string")
+    row = spark.range(1).select(
+        text.edge_display(F.lit("A"), F.lit("Run"), F.lit("B"), F.lit("Method"), F.lit(0.5), F.lit(0.625), F.lit("Balanced"), F.lit("3,4")),
+        text.edge_display(F.lit("A"), F.lit(""), F.lit("B"), F.lit("Method"), F.lit(0.5), F.lit(None).cast("double"), none, none),
+        text.node_display(F.lit("A"), F.lit("P"), F.lit(2), F.lit(3)),
+        text.finding_display(F.lit("GodClass"), F.lit("High"), F.lit("too many"), F.lit(4)),
+        text.strength_display(F.lit(0.5), {"structural": F.lit(0.25), "semantic": F.lit(1.0)}, F.lit("Balanced")),
+    ).first()
+    assert list(row) == [
+        "A.Run -> B (Method) [Composite: 0.63, Profile: Balanced] at 3,4",
+        "A -> B (Method) [Strength: 0.50]",
+        "A (P) - 2 deps, 3 dependents",
+        "GodClass (High): too many - 4 dependencies affected",
+        "Composite: 0.50 | Structural: 0.25 | Semantic: 1.00 | Profile: Balanced",
+    ]
