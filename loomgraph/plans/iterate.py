@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from collections import defaultdict
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,7 +56,7 @@ def id_type(edges: DataFrame) -> str:
     return edges.schema["src"].dataType.simpleString()
 
 
-def reach(edges: DataFrame, starts: list, limit: int = LOCAL_EDGES, max_depth: int = 10_000) -> DataFrame:
+def reach(edges: DataFrame, starts: list, limit: int = LOCAL_EDGES) -> DataFrame:
     """start, node, depth: the least number of edges from each start to the nodes that it reaches, itself included."""
     spark, kind = edges.sparkSession, id_type(edges)
     pairs = edges.select("src", "dst").filter("src is not null and dst is not null").distinct()
@@ -77,14 +78,14 @@ def reach(edges: DataFrame, starts: list, limit: int = LOCAL_EDGES, max_depth: i
                                 depth[b] = depth[a] + 1
                                 level.append(b)
                     front = level
-                found += [(start, n, d) for n, d in depth.items() if d <= max_depth]
+                found += [(start, n, d) for n, d in depth.items()]
             return found
 
         local = in_one_task(pairs, work, schema)
         return local.union(spark.createDataFrame([(s, s, 0) for s in starts], schema)).distinct()
     seen = stored(spark.createDataFrame([(s, s, 0) for s in starts], schema))
     front = seen
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         step = front.join(pairs, front.node == pairs.src).select("start", F.col("dst").alias("node")).distinct()
         front = stored(step.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)).select("start", "node", "depth"))
         if front.isEmpty():

@@ -128,3 +128,10 @@ def test_the_processing_order_is_whole(spark):
     places = [r.place for r in QUERIES["O05_processing_order"](spark, sf).collect()]
     n = fixtures.view(spark, sf, "fx_edges").count()
     assert n > 100 and sorted(places) == list(range(1, n + 1))
+
+
+def test_reach_has_no_depth_bound(spark):
+    n = 10_050
+    chain = spark.range(n).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    found = iterate.reach(chain, [0])
+    assert found.count() == n + 1 and found.agg(F.max("depth")).first()[0] == n
