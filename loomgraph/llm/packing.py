@@ -95,10 +95,11 @@ def token_bytes(df: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
         table = chunks.HubTable(tokenizer_path, TABLE_LIMIT)
         kind = "<u2" if table.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 and end_id < 1 << 16 else "<u4"
         for batch in (part for whole in batches for part in chunks.slices(whole)):
-            ids = chunks.encode_texts(table, batch.column(1).to_pylist())
-            blobs = [np.append(x, end_id).astype(kind).tobytes() for x in ids]
-            width = pa.array([int(kind[-1])] * len(blobs), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary()), width], ["doc_id", "ids", "width"])
+            ids, counts = chunks.with_end(*table.encode(batch.column(1)), end_id)
+            ids = ids.astype(kind)
+            at = np.concatenate([[0], np.cumsum(counts)]) * ids.itemsize
+            blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(at), pa.py_buffer(ids)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), blobs, pa.array(np.full(len(counts), ids.itemsize, np.int32))], ["doc_id", "ids", "width"])
         del table
         chunks.give_back()
 

@@ -3,7 +3,8 @@
 Documents are range-partitioned by doc_id into shards, tokenized, and written as blocks of about a million ids in
 ascending order. In each block frequent pairs of neighbouring ids are replaced by nonterminals again and again; pairs
 never span two documents, so a document is a slice of the block's symbols, and any one can be decoded alone from the
-rules and their expansion lengths. A round replaces many pairs at once: where chosen pairs overlap, the more frequent one wins.
+rules and their expansion lengths. A round replaces many pairs at once: where chosen pairs overlap, the more frequent one wins. Rounds go
+on until no pair has LEAST_USES uses apart from one another.
 
 A shard table is Parquet (shard, block, n_docs, n_ids, payload), so any store that Spark writes to will do. A payload is
 little-endian: magic "RPB1", a header of eight unsigned 32-bit integers (terminals, rules, symbols, documents, width of
@@ -32,67 +33,88 @@ from .common import new_path, n_parts, text_or_empty
 #: Stands for a null doc_id.
 NO_ID = -(1 << 63)
 MAGIC, HEADER = b"RPB1", "<8I"
-#: Documents to a shard, ids to a block, rounds of replacement, least uses of a new rule, least gain of a round that calls for another.
-SHARD_DOCS, BLOCK_IDS, ROUNDS, LEAST_USES, LEAST_GAIN = 4096, 1 << 20, 6, 12, 0.06
-#: Chunks that a worker keeps (about 300 MB).
-TABLE_LIMIT = 1_500_000
+#: Documents to a shard, ids to a block, least uses of a new rule (a rule takes 12 bytes, a use saves 2 or 4).
+SHARD_DOCS, BLOCK_IDS, LEAST_USES = 4096, 1 << 20, 12
 _SLOT_BITS = 18
 
 
-def repair(ids: np.ndarray, last: np.ndarray, terminals: int, rounds: int = ROUNDS, least: int = LEAST_USES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, their last-of-document marks and the rules' (left, right) sides."""
-    # a pair is one number: of 32 bits as long as symbols fit in 16
-    kind, bits = (np.uint32, 16) if terminals < 60_000 else (np.uint64, 32)
-    s, rules, none = ids.astype(kind), [], kind((1 << 2 * bits) - 1)
-    shift, low, base, most = kind(bits), (1 << bits) - 1, terminals, (1 << bits) - 1
-    for _ in range(rounds):
-        code = (s[:-1] << shift) | s[1:]
-        code[last[:-1]] = none
-        order = np.sort(code)
-        edge = np.flatnonzero(order[1:] != order[:-1]) + 1
-        edge = np.concatenate([[0], edge, [len(order)]]) if len(order) else np.zeros(1, np.int64)
-        uses = np.diff(edge)
+def repair(ids: np.ndarray, last: np.ndarray, terminals: int, least: int = LEAST_USES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, their last-of-document marks and the rules' (left, right) sides.
+
+    A round names all pairs with enough uses and replaces them, until there are none. Symbols are linked, and a round looks only at those
+    whose pair may have enough uses: what the round before left over, and the neighbours of its new symbols.
+    """
+    n, none = len(ids), np.int32((1 << 31) - 1)
+    s, last, rules, base = ids.astype(np.int64), last.copy(), [], terminals
+    after, before = np.arange(1, n + 1), np.arange(-1, n)
+    alive, flags = np.ones(n, bool), np.zeros(n + 1, bool)
+    rank = np.full(n + 1, none)  # of the pair that a place begins; the last one is beyond either end
+    slot_pair, slot_rank = np.zeros(1 << _SLOT_BITS, np.int64), np.full(1 << _SLOT_BITS, none)
+    waits = np.zeros(1 << _SLOT_BITS, bool)  # slots with a pair that another keeps from its turn
+    at = np.flatnonzero(~last[:-1])
+    while len(at):
+        code = (s[at] << 32) | s[after[at]]
+        slot = _slot(code)
+        if len(at) >> 14:
+            some = np.flatnonzero((np.bincount(slot, minlength=1 << _SLOT_BITS) >= least)[slot])
+            at, code, slot = at[some], code[some], slot[some]
+        ordered = np.sort(code)
+        edge = np.flatnonzero(np.concatenate([[len(at) > 0], ordered[1:] != ordered[:-1]]))
+        uses = np.diff(np.append(edge, len(at)))
         often = np.flatnonzero(uses >= least)
-        pairs, uses = order[edge[often]], uses[often]
-        pairs, uses = pairs[pairs != none], uses[pairs != none]
-        pairs = pairs[np.argsort(-uses, kind="stable")][: min(1 << (_SLOT_BITS - 4), most - base)]
-        if not len(pairs):
+        often = often[np.argsort(-uses[often], kind="stable")]
+        if not len(often):
             break
-        # one slot for each hash; the more frequent pair keeps it, the other waits for the next round
-        slot = _slot(pairs)
-        table, rank = np.full(1 << _SLOT_BITS, none, kind), np.full(1 << _SLOT_BITS, len(pairs), np.int32)
-        table[slot[::-1]], rank[slot[::-1]] = pairs[::-1], np.arange(len(pairs), dtype=np.int32)[::-1]
-        slot = _slot(code)
-        mine = rank[slot]
-        mine[(table[slot] != code) | (code == none)] = len(pairs)
-        end = np.full(1, len(pairs), np.int32)
-        taken = np.flatnonzero((mine < np.concatenate([end, mine[:-1]])) & (mine <= np.concatenate([mine[1:], end])) & (mine < len(pairs)))
-        which = mine[taken]
+        # one slot for each hash: the more frequent pair keeps it, the other waits for a later round
+        pairs = ordered[edge[often]]
+        mine = _slot(pairs)
+        slot_pair[mine[::-1]], slot_rank[mine[::-1]] = pairs[::-1], np.arange(len(pairs), dtype=np.int32)[::-1]
+        found = slot_rank[slot]
+        found[slot_pair[slot] != code] = none
+        slot_rank[mine] = none
+        # the more frequent of two pairs that overlap wins; of a run of one symbol every other pair does
+        rank[at] = found
+        left = rank[before[at]]
+        taken = (found < left) & (found <= rank[after[at]])
+        twins = np.flatnonzero(np.append(pairs >> 32 == pairs & 0xFFFFFFFF, False)[np.minimum(found, len(pairs))])
+        if len(twins):
+            place, k = at[twins], np.arange(len(twins))
+            run = np.concatenate([[False], (before[place[1:]] == place[:-1]) & (found[twins][1:] == found[twins][:-1])])
+            even = (k - np.maximum.accumulate(np.where(run, 0, k))) % 2 == 0
+            taken[twins] |= even & (found[twins] == left[twins]) & (found[twins] <= rank[after[place]])
+        rank[at] = none
+        taken = np.flatnonzero(taken)
+        which = found[taken]
         kept = np.flatnonzero(np.bincount(which, minlength=len(pairs)) >= least)
         if not len(kept):
-            break
+            # the first pair has too few uses apart from one another
+            at = at[found > 0]
+            continue
         name = np.full(len(pairs), -1, np.int64)
         name[kept] = base + np.arange(len(kept))
         new = name[which]
-        taken, new = taken[new >= 0], new[new >= 0]
-        rules.append(np.stack([pairs[kept] >> shift, pairs[kept] & kind(low)], 1).astype(np.int64))
+        i, new = at[taken[new >= 0]], new[new >= 0]
+        rules.append(np.stack([pairs[kept] >> 32, pairs[kept] & 0xFFFFFFFF], 1))
         base += len(kept)
-        s[taken] = new
-        last = last.copy()
-        last[taken] = last[taken + 1]
-        stay = np.ones(len(s), bool)
-        stay[taken + 1] = False
-        shrunk = len(taken) / len(s)
-        s, last = s[stay], last[stay]
-        if shrunk < LEAST_GAIN:
-            break
-    return s, last, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
+        j = after[i]
+        s[i], last[i], after[i], alive[j] = new, last[j], after[j], False
+        before[after[i]] = i
+        # pairs that have just been found rare stay so, unless a new symbol is in them
+        waits[mine[slot_pair[mine] != pairs]] = True
+        at = at[(found < none) | waits[slot]]
+        waits[mine] = False
+        if len(at) < n >> 4:
+            at = np.unique(np.concatenate([at, i, before[i]]))
+            at = at[(at >= 0) & alive[at] & ~last[at]]
+        else:
+            flags[at] = flags[i] = flags[before[i]] = True
+            at = np.flatnonzero(flags[:n] & alive & ~last)
+            flags[:] = False
+    return s[alive], last[alive], np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
 
 
 def _slot(codes: np.ndarray) -> np.ndarray:
-    if codes.dtype == np.uint32:
-        return (codes * np.uint32(0x9E3779B1)) >> np.uint32(32 - _SLOT_BITS)
-    return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+    return ((codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
 
 
 def expansion_lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
@@ -103,18 +125,16 @@ def expansion_lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def write_block(doc_ids: list[int], ids: list[np.ndarray], terminals: int) -> bytes:
-    """A payload of these documents' ids."""
-    counts = np.array([len(x) for x in ids], np.int64)
-    flat = np.concatenate(ids)
-    last = np.zeros(len(flat), bool)
+def write_block(doc_ids: np.ndarray, ids: np.ndarray, counts: np.ndarray, terminals: int) -> bytes:
+    """A payload of documents that have so many (one at least) of these ids each."""
+    last = np.zeros(len(ids), bool)
     last[np.cumsum(counts) - 1] = True
-    symbols, last, rules = repair(flat, last, terminals)
+    symbols, last, rules = repair(ids, last, terminals)
     first = np.concatenate([[0], np.flatnonzero(last) + 1])
     at = np.concatenate([[0], np.cumsum(counts)])
     width = 2 if terminals + len(rules) <= 1 << 16 else 4
     parts = [rules[:, 0].astype("<u4"), rules[:, 1].astype("<u4"), expansion_lengths(rules, terminals).astype("<u4"), first.astype("<u4"), at.astype("<u4"), np.array(doc_ids, "<i8"), symbols.astype(f"<u{width}")]
-    return MAGIC + struct.pack(HEADER, terminals, len(rules), len(symbols), len(ids), width, 0, 0, 0) + b"".join(p.tobytes() for p in parts)
+    return MAGIC + struct.pack(HEADER, terminals, len(rules), len(symbols), len(counts), width, 0, 0, 0) + b"".join(p.tobytes() for p in parts)
 
 
 class Block:
@@ -189,25 +209,31 @@ def write_shards(df: DataFrame, path: str, tokenizer_path: str, end_id: int = 0,
         from pyspark import TaskContext
 
         shard, block = TaskContext.get().partitionId(), 0
-        table = chunks.of_worker(tokenizer_path, lambda: chunks.HubTable(tokenizer_path, TABLE_LIMIT))
+        table = chunks.of_worker(tokenizer_path, lambda: chunks.HubTable(tokenizer_path))
         terminals = max(table.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
-        docs, ids, size = [], [], 0
+        held, size = [], 0
 
-        def out():
-            columns = [[shard], [block], [len(docs)], [size], [write_block(docs, ids, terminals)]]
+        def out(held):
+            docs, ids, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+            columns = [[shard], [block], [len(docs)], [len(ids)], [write_block(docs, ids, counts, terminals)]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["shard", "block", "n_docs", "n_ids", "payload"])
 
         for batch in (part for whole in batches for part in chunks.slices(whole)):
-            for doc, x in zip(batch.column(0).to_pylist(), chunks.encode_texts(table, batch.column(1).to_pylist()), strict=True):
-                docs.append(doc)
-                ids.append(np.append(x, end_id))
-                size += len(x) + 1
+            docs = batch.column(0).to_numpy()
+            ids, counts = chunks.with_end(*table.encode(batch.column(1)), end_id)
+            while len(docs):
+                ends = np.cumsum(counts)
+                n = int(np.searchsorted(ends, block_ids - size)) + 1  # documents until the block is full
+                first = int(ends[min(n, len(docs)) - 1])
+                held.append((docs[:n], ids[:first], counts[:n]))
+                size += first
+                docs, ids, counts = docs[n:], ids[first:], counts[n:]
                 if size >= block_ids:
-                    yield out()
-                    docs, ids, size, block = [], [], 0, block + 1
-        if docs:
-            yield out()
+                    yield out(held)
+                    held, size, block = [], 0, block + 1
+        if held:
+            yield out(held)
 
     ordered.mapInArrow(run, "shard int, block int, n_docs long, n_ids long, payload binary").write.parquet(path)
 

@@ -21,9 +21,7 @@ WORD, BYTE, PIECE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "b
 def tokenizer(path):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 # 1
@@ -340,12 +338,36 @@ def test_repair_round_trip(terminals):
     rng = np.random.default_rng(1)
     phrase = rng.integers(0, terminals, 50)
     docs = [np.concatenate([rng.choice([0, 1, 2, 299], 200), phrase, np.zeros(30, np.int64)]) for _ in range(60)] + [np.zeros(1, np.int64)]
-    block = token_output.Block(token_output.write_block(list(range(len(docs))), docs, terminals))
+    block = token_output.Block(token_output.write_block(np.arange(len(docs)), np.concatenate(docs), np.array([len(d) for d in docs]), terminals))
     assert len(block.symbols) < sum(map(len, docs)) / 2
     assert all((a == b).all() for a, b in zip(block.all(), docs, strict=True)) and (block.document(7) == docs[7]).all()
     assert (block.lengths == token_output.expansion_lengths(np.stack([block.left, block.right], 1), terminals)).all()
 
 
+def _apart(symbols, last):
+    """Uses of each pair apart from one another, within documents."""
+    uses, end = Counter(), {}
+    for k in range(len(symbols) - 1):
+        pair = (symbols[k], symbols[k + 1])
+        if not last[k] and end.get(pair) != k:
+            uses[pair] += 1
+            end[pair] = k + 1
+    return uses
+
+
+def test_repair_goes_on_to_the_end():
+    rng = np.random.default_rng(6)
+    for case in range(120):
+        ids = rng.integers(0, rng.integers(1, 9), rng.integers(1, 900))
+        if case % 3 == 0:
+            ids = np.tile(ids[:40], 15)
+        last = rng.random(len(ids)) < rng.choice([0, 0.05])
+        last[-1] = True
+        symbols, ends, rules = token_output.repair(ids, last, 10)
+        assert max(_apart(symbols.tolist(), ends.tolist()).values(), default=0) < token_output.LEAST_USES
+        assert ends.sum() == last.sum() and token_output.expansion_lengths(rules, 10).max(initial=2) >= 2
+
+
 # 9
 
 
