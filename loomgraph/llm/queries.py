@@ -40,8 +40,13 @@ def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_rules.judge(quality_rules.ledger(documents(spark, sf_dir)))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    judged = quality_rules.judge(quality_rules.ledger(documents(spark, sf_dir), Stored(spark)))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "failed", "policy", "base_failed", "kept")
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 6's ablations, from its ledger."""
+    return quality_rules.ablations(quality_rules.ledger(documents(spark, sf_dir), Stored(spark)))
 
 
 def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,5 +86,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_output": op8_token_output,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_secrets": op10_secrets,
+    "quality_ablations": quality_ablations,
 }
-ORACLE_SQL: dict[str, str] = {"op6_quality_rules": quality_rules.SQL}
+ORACLE_SQL: dict[str, str] = {"op6_quality_rules": quality_rules.SQL, "quality_ablations": quality_rules.ABLATIONS_SQL}

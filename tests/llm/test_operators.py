@@ -245,7 +245,7 @@ def test_components(spark, stored):
 # 6
 
 
-def test_quality_rules(odd, empty, spark):
+def test_quality_rules(odd, empty, spark, stored):
     con = duck("/root/testdata/sf0.001")
     con.execute("DROP VIEW documents")
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
@@ -255,7 +255,13 @@ def test_quality_rules(odd, empty, spark):
     names = [c[0] for c in res.description]
     got = quality_rules.judge(quality_rules.ledger(make(spark, [(i, t, "en", 0) for i, t in rows]))).select(*names)
     assert plain([tuple(r) for r in got.collect()]) == plain(res.fetchall())
-    assert quality_rules.accepted(odd).columns == odd.columns
+    res = con.execute(quality_rules.ABLATIONS_SQL)
+    names = [c[0] for c in res.description]
+    got = quality_rules.ablations(quality_rules.ledger(make(spark, [(i, t, "en", 0) for i, t in rows]), stored)).select(*names)
+    assert plain([tuple(r) for r in got.collect()]) == plain(res.fetchall())
+    kept = quality_rules.accepted(odd.withColumn("failed", F.lit(1)).withColumn("_row", F.lit("x")).withColumn("kept", F.lit(False)).withColumn("w", F.lit(None)), stored)
+    assert kept.columns == [*odd.columns, "failed", "_row", "kept", "w"] and [r.doc_id for r in kept.collect()] == [r.doc_id for r in quality_rules.judge(quality_rules.ledger(odd)).filter("kept").collect()]
+    assert quality_rules.accepted(empty, stored).collect() == []
     assert quality_rules.ledger(empty).collect() == [] and quality_rules.ablations(quality_rules.ledger(empty)).collect() == []
 
 
