@@ -15,7 +15,7 @@ from loomgraph.llm.common import Stored, documents
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the current policy of the quality rules rejects."""
-    return quality_rules.accepted(docs)
+    return quality_rules.accepted(docs, Stored(spark))
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
