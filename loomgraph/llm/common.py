@@ -13,11 +13,13 @@ SPACES = r"\x20\x09-\x0D"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); one of our own only where that is unset, as in tests."""
+    """The cluster's shared folder (spark.checkpoint.dir); one of our own only where that is unset and Spark is local, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="loomgraph-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")

@@ -1,13 +1,14 @@
 """Operator 1, packing: first-fit decreasing over a tournament tree of bin capacities.
 
-Documents are dealt into randomised groups by a seeded hash of doc_id, so no group grows with a source or with
-copies, and each group is packed by itself in one task. A document of capacity ids or more gives full sequences;
+Documents are dealt into randomised groups by a seeded hash of doc_id and ids, so no group grows with a source, with
+copies or with rows without doc_id, and each group is packed by itself in one task. A document of capacity ids or more gives full sequences;
 what remains of each document goes, longest first, to the first open sequence with room, which a tournament tree
 over the free room finds in log(n) steps. Then the emptiest sequences are taken apart, cutting their pieces, to fill
 the gaps of the others, so that one sequence a group at most is not full.
 
-Null texts count as empty; an empty text is its end id alone. Repeated rows are packed as often as they occur.
-A null doc_id is packed like any other. An empty table gives no rows. Columns but doc_id and text are not read.
+Null texts count as empty; an empty text is its end id alone. Repeated rows are packed as often as they occur (all in one group: they share their hash).
+A null doc_id is packed like any other. Texts are packed whole, whatever their length; one text's ids are held at a time. Of equally long rests that with the
+lesser doc_id, then ids, goes first. An empty table gives no rows. Columns but doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -109,7 +110,7 @@ def token_bytes(df: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
 def pack_documents(df: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 2048, group_docs: int = GROUP_DOCS, seed: int = 7) -> DataFrame:
     """One row per piece: where its document's ids went. sequence_id: the group times 2^32, and a number within it."""
     groups = n_parts(df.count(), group_docs, most=1 << 30)
-    dealt = token_bytes(df, tokenizer_path, end_id).withColumn("grp", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(groups)))
+    dealt = token_bytes(df, tokenizer_path, end_id).withColumn("grp", F.pmod(F.xxhash64("doc_id", "ids", F.lit(seed)), F.lit(groups)))
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.take(pa.compute.sort_indices(table, [("doc_id", "ascending"), ("ids", "ascending")]))

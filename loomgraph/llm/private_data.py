@@ -6,8 +6,8 @@ an entity by P(entity | term) = occurrences beside it / all occurrences, and log
 Terms seen beside an entity in SUPPORT different contexts, with BITS of information at least, are generalised from P >= GENERALISE on
 and removed from P >= REMOVE on, wherever they stand. Copies of one passage are one context, so boilerplate alone is no evidence.
 
-Null texts count as empty: no spans. Repeated rows give repeated results. An empty table gives no rows. Only doc_id and text are
-read; sanitise() keeps other columns whatever their names.
+Null texts count as empty: no spans. Repeated rows, and rows without doc_id, give each their results. Texts are searched whole, whatever their length. A term that
+reaches both thresholds is removed. An empty table gives no rows. Only doc_id and text are read; sanitise() keeps other columns whatever their names.
 """
 
 from __future__ import annotations
@@ -102,8 +102,8 @@ def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, st
 
 
 def _key() -> Column:
-    """Rows that agree in it agree in doc_id and text, so they share their results."""
-    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    """128 bits: rows that agree in it are taken to agree in doc_id and text, so they share their results."""
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.coalesce("text", F.lit(""))).cast("binary"))
 
 
 def _texts(df: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def _base(df: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(kinds)), pa.array(near, pa.list_(beside))], ["key", "doc_id", "base", "near"])
         chunks.give_back()
 
-    return _texts(df).mapInArrow(run, "key long, doc_id long, base array<struct<rank: int, start: int, end: int>>, near array<struct<entity: long, term: string, context: long>>")
+    return _texts(df).mapInArrow(run, "key string, doc_id long, base array<struct<rank: int, start: int, end: int>>, near array<struct<entity: long, term: string, context: long>>")
 
 
 def term_filter(terms: DataFrame) -> bytes:
@@ -194,12 +194,12 @@ def _hits(df: DataFrame, bits) -> DataFrame:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if any(known[t] for t in {*_TERM.findall(text.lower())}):
                     out += [(key, t, m.start(), m.end()) for m in _TERM.finditer(text) if known[t := m[0].lower()]]
-            kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32()]
+            kinds = [pa.string(), pa.string(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["key", "term", "start", "end"])
         del known
         chunks.give_back()
 
-    return _texts(df).mapInArrow(run, "key long, term string, start int, end int")
+    return _texts(df).mapInArrow(run, "key string, term string, start int, end int")
 
 
 def disclosing(base: DataFrame, df: DataFrame, stored: Stored) -> DataFrame:
@@ -247,12 +247,13 @@ def replace(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def sanitise(df: DataFrame, stored: Stored) -> DataFrame:
     """The table with personal data and disclosing terms replaced in text; nulls stay."""
-    spans = scan(df, stored).filter("size(spans) > 0").dropDuplicates(["key"]).select(F.col("key").alias("_key"), F.col("spans").alias("_spans"))
-    columns = df.columns
-    joined = df.withColumn("_key", _key()).join(spans, "_key", "left").drop("_key")
+    spans = scan(df, stored).filter("size(spans) > 0").dropDuplicates(["key"]).select("key", "spans")
+    rows = df.select(_key().alias("key"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    joined = rows.join(spans, "key", "left")
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series, found: pd.Series) -> pd.Series:
         return texts.combine(found, lambda t, s: t if t is None or s is None else replace(t, [(x["rank"], x["start"], x["end"]) for x in s]))
 
-    return joined.withColumn("text", F.when(F.col("_spans").isNotNull(), clean("text", "_spans")).otherwise(F.col("text"))).select(*columns)
+    text = F.when(F.col("spans").isNotNull(), clean(F.when(F.col("spans").isNotNull(), F.col("row.text")), "spans")).otherwise(F.col("row.text"))
+    return joined.select(F.col("row").withField("text", text).alias("row")).select("row.*")

@@ -5,7 +5,8 @@ raw from every n-gram of every document, target from documents labelled quality
 n-grams' log-ratios. Adding standard Gumbel noise, seeded by doc_id, and keeping the k largest keys is sampling k documents without
 replacement with those weights. The k-th key is found by radix selection over counts, so nothing is ranked in one task.
 
-Null and empty texts weigh 0. Ties at the k-th key are all kept. Repeated rows share their key. The target is fitted on at most SAMPLE_ROWS
+Null and empty texts weigh 0. Ties at the k-th key are all kept. Repeated rows share their key; rows without doc_id draw their noise by their text.
+Texts are weighed whole, whatever their length. Columns but doc_id and text are not read, whatever their names. The target is fitted on at most SAMPLE_ROWS
 labelled rows, those with the least hash of doc_id; without any, all weights are 0 and the sample is uniform. Empty tables give no rows.
 """
 
@@ -65,6 +66,8 @@ def counts_of(texts: DataFrame) -> np.ndarray:
             total += np.bincount(buckets(batch.column(1).to_pylist(), hashes)[0], minlength=BUCKETS)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], ["bucket", "n"])
+        del hashes
+        chunks.give_back()
 
     rows = texts.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(BUCKETS, np.float64)
@@ -83,6 +86,11 @@ def log_ratios(df: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     return share(target) - share(raw)
 
 
+def weights(at: np.ndarray, n: np.ndarray, ratios: np.ndarray) -> np.ndarray:
+    """The log-weight of each text: its own n-grams' ratios are summed in their order, so it depends on nothing beside it."""
+    return np.bincount(np.repeat(np.arange(len(n)), n), ratios[at], len(n))
+
+
 def resample(df: DataFrame, labels: DataFrame, stored: Stored, share: float = SHARE, seed: int = SEED) -> DataFrame:
     """doc_id, log_weight, key (log_weight with its noise) and kept of every row."""
     ratios = df.sparkSession.sparkContext.broadcast(log_ratios(df, labels))
@@ -90,15 +98,16 @@ def resample(df: DataFrame, labels: DataFrame, stored: Stored, share: float = SH
     def run(batches):
         hashes = Hashes()
         for batch in (part for whole in batches for part in chunks.slices(whole)):
-            at, n = buckets(batch.column(1).to_pylist(), hashes)
-            ends = np.concatenate([[0], np.cumsum(n)])
-            sums = np.concatenate([[0.0], np.cumsum(ratios.value[at])])
-            weight = np.where(n > 0, sums[ends[1:]] - sums[ends[:-1]], 0.0)
-            u = np.array([xxhash.xxh64_intdigest(str(d), seed) for d in batch.column(0).to_pylist()], np.float64)
+            texts = batch.column(1).to_pylist()
+            at, n = buckets(texts, hashes)
+            weight = weights(at, n, ratios.value)
+            u = np.array([xxhash.xxh64_intdigest(f" {t}" if d is None else str(d), seed) for d, t in zip(batch.column(0).to_pylist(), texts, strict=True)], np.float64)
             key = weight - np.log(-np.log((u + 0.5) / 2.0**64 * (1 - 2.0**-52)))
             bits = key.view(np.int64)
             rank = np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits)  # ordered as the keys are
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (weight, key, rank))], ["doc_id", "log_weight", "key", "rank"])
+        del hashes
+        chunks.give_back()
 
     keyed = stored.put(text_or_empty(df).mapInArrow(run, "doc_id long, log_weight double, key double, rank long"), "keys")
     least = kth_largest(keyed.select("rank"), round(share * keyed.count()))

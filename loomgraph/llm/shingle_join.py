@@ -13,7 +13,8 @@ compared with the closest of the middle classes of a few cells; then, where a ce
 classes are compared with all of that component, once; last, trees compare what is left of each cell, classes of different components
 alone. Every pair of a cell is thus linked, pruned or verified, or lies within a component.
 
-Null, empty and wordless texts have the empty set, and link with nothing. Rows that share a doc_id are one document if their texts agree,
+Null, empty and wordless texts have the empty set, and link with nothing. Texts are taken whole, whatever their length; other columns are not
+read, whatever their names, and one_of_each() keeps them. Rows that share a doc_id are one document if their texts agree,
 and otherwise belong to one component. Repeated rows are returned as often as they occur. A row without doc_id links with nothing, and has no component. Empty
 tables give no rows.
 """
@@ -38,6 +39,8 @@ WORDS, GROUPS = 5, 256  # groups of small sets, and of the trees
 FREQUENT, FILTER_BITS = 8, 1 << 26
 #: Documents to a bucket of postings, first rare and first frequent keys of a document whose cells look for its closest, middle classes of a cell, points to a leaf of a tree, classes to a block of a cell.
 BUCKET_DOCS, EARLY_KEYS, MIDDLE, LEAF, BLOCK = 8192, 4, 4, 16, 2048
+#: Documents with a shingle from which on its postings are dealt to several tasks, of so many postings each about.
+HOT_POSTINGS = 200_000
 # odd multipliers, one for each word of a shingle
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -186,8 +189,11 @@ def bit_filter(values: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def postings(df: DataFrame, frequent, buckets: int) -> DataFrame:
-    """bucket, blob: keys, classes (lo), set sizes and places in the prefix of many postings."""
+def postings(df: DataFrame, frequent, buckets: int, hot) -> DataFrame:
+    """bucket, blob: keys, classes (lo), set sizes and places in the prefix of many postings.
+
+    hot: sorted keys whose postings are dealt by class to so many buckets beyond the others, each key to its own (keys, first buckets, buckets).
+    """
 
     def run(batches):
         hashes, firsts, held, size = _Hashes(), _Firsts(), [], 0
@@ -214,6 +220,11 @@ def postings(df: DataFrame, frequent, buckets: int) -> DataFrame:
         # places count anew from the first frequent key on, which copies share while their rare ones may be edits
         place = np.concatenate([np.minimum(np.concatenate([np.arange(r), np.arange(c - r)]), 255) for c, (_, _, _, r) in zip(counts, held, strict=True)]).astype(np.uint8)
         bucket = ((keys >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
+        names, starts, parts = hot.value
+        if len(names):
+            at = np.minimum(np.searchsorted(names, keys), len(names) - 1)
+            mine = names[at] == keys
+            bucket = np.where(mine, buckets + starts[at] + lo % parts[at], bucket)
         order = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(bucket[order])) + 1
         parts = np.split(order, cuts)
@@ -231,8 +242,20 @@ def _open(blobs: list[bytes]) -> list[np.ndarray]:
     return [np.concatenate(c) for c in zip(*parts, strict=True)]
 
 
-def cells(posted: DataFrame) -> DataFrame:
-    """Rows (cell, members): sets of classes that share a key; and rows (cell, lo): the cells of each class's first keys."""
+def hot_keys(times: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For postings(): the shingles of HOT_POSTINGS documents or more. There are fewer of them than all postings over HOT_POSTINGS."""
+    rows = times.filter(F.col("times") >= HOT_POSTINGS).select("shingle", F.expr(f"times div {HOT_POSTINGS} + 1").alias("parts")).toArrow()
+    names, parts = rows.column("shingle").to_numpy().view(np.uint64), rows.column("parts").to_numpy().astype(np.int64)
+    order = np.argsort(names)
+    names, parts = names[order], parts[order]
+    return names, np.cumsum(parts) - parts, parts
+
+
+def cells(posted: DataFrame, buckets: int) -> DataFrame:
+    """Rows (cell, part, members): sets of classes that share a key; and rows (cell, lo): the cells of each class's first keys.
+
+    A cell of a key whose postings are dealt to several buckets is named by the key, and comes in parts.
+    """
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         keys, lo, n, place = _open(table.column("blob").to_pylist())
@@ -241,14 +264,15 @@ def cells(posted: DataFrame) -> DataFrame:
         fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (lo[1:] != lo[:-1])])
         keys, lo, n, place = keys[fresh], lo[fresh], n[fresh], place[fresh]
         # neighbours in a cell may be linked only if their sizes are near; where they are not, the cell falls apart
-        joined = np.concatenate([[False], (keys[1:] == keys[:-1]) & (4 * n[:-1] >= 3 * n[1:])])
+        dealt = key[0].as_py() >= buckets
+        joined = np.concatenate([[False], (keys[1:] == keys[:-1]) & (dealt | (4 * n[:-1] >= 3 * n[1:]))])
         start = np.flatnonzero(~joined)
         size = np.diff(np.concatenate([start, [len(keys)]]))
-        start, size = start[size > 1], size[size > 1]
+        start, size = start[(size > 1) | dealt], size[(size > 1) | dealt]
         found, first, early = {}, [], []
         for s, m in zip(start.tolist(), size.tolist(), strict=True):
             members = lo[s : s + m].tobytes()
-            cell = xxhash.xxh64_intdigest(members) - (1 << 63)
+            cell = xxhash.xxh64_intdigest(keys[s : s + 1].tobytes() if dealt else members) - (1 << 63)
             if cell not in found:
                 found[cell] = members
             soon = np.flatnonzero(place[s : s + m] < EARLY_KEYS)
@@ -259,42 +283,63 @@ def cells(posted: DataFrame) -> DataFrame:
         return pa.table(
             {
                 "cell": pa.array(np.concatenate([np.fromiter(found, np.int64, rows), *first])),
+                "part": pa.array(np.full(rows + soon, key[0].as_py())),
                 "members": pa.array([*found.values(), *[None] * soon], pa.binary()),
                 "lo": pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(np.concatenate([np.zeros(0, np.int64), *early]))]),
             }
         )
 
-    return posted.groupBy("bucket").applyInArrow(run, "cell long, members binary, lo long")
+    return posted.groupBy("bucket").applyInArrow(run, "cell long, part long, members binary, lo long")
 
 
-def closest(members: DataFrame) -> DataFrame:
+def closest(members: DataFrame, stored: Stored) -> DataFrame:
     """Pairs (a, b) of each class and the class closest to it, by points, among the middle ones of its cells: one row per class at most.
 
-    The middle of a cell is where the mean of its points lies. Where classes are copies of one, that one is near it.
+    The middle of a cell is where the mean of its points lies. Where classes are copies of one, that one is near it. Cells beyond BLOCK classes
+    are cut into blocks by hash, and the middle classes of the blocks are compared in turn.
     """
-
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        rep, n = table.column("rep").to_numpy(), table.column("n").to_numpy()
-        order = np.argsort(rep)
-        rep, n = rep[order], n[order]
-        p = np.stack([folded(point(b)) for b in table.column("point").take(pa.array(order)).to_pylist()])
-        mean = p.mean(0)
-        centre = np.argsort(-np.minimum(p, mean).sum(1) * 2 / (n + mean.sum()), kind="stable")[:MIDDLE]
-        best, near = np.full(len(rep), -1), np.zeros(len(rep))
-        for c in centre.tolist():
-            bound = np.minimum(p, p[c]).sum(1)
-            ratio = np.where(enough(bound, n, n[c]) & (4 * np.minimum(n, n[c]) >= 3 * np.maximum(n, n[c])), bound / (n + n[c]), 0)
-            ratio[c] = 0
-            best = np.where(ratio > near, c, best)
-            near = np.maximum(near, ratio)
-        kept = np.flatnonzero(best >= 0)
-        return pa.table({"a": rep[kept], "b": rep[best[kept]], "near": near[kept]})
-
-    found = members.groupBy("cell").applyInArrow(run, "a long, b long, near double")
+    level, n = members.select("cell", "rep", "n", "point"), 0
+    found = None
+    while True:
+        sizes = level.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+        dealt = level.join(stored.put(sizes, "closest-sizes"), "cell").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(n)), F.col("blocks")))
+        step = stored.put(dealt.groupBy("cell", "block").applyInArrow(_closest, "a long, b long, near double, cell long, rep long, n long, point binary"), "closest")
+        pairs = step.filter("a is not null").select("a", "b", "near")
+        found = pairs if found is None else found.union(pairs)
+        level, n = step.filter("rep is not null").select("cell", "rep", "n", "point"), n + 1
+        if level.isEmpty():
+            break
     found = found.groupBy("a").agg(F.max_by("b", F.struct("near", "b")).alias("b"))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _closest(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """a, b, near: each class of a block and the one closest to it of the middle ones; and, where the cell has more blocks, the middle ones."""
+    rep, n, blobs = table.column("rep").to_numpy(), table.column("n").to_numpy(), table.column("point")
+    order = np.argsort(rep)
+    rep, n, blobs = rep[order], n[order], blobs.take(pa.array(order))
+    p = np.stack([folded(point(b)) for b in blobs.to_pylist()])
+    mean = p.mean(0)
+    centre = np.argsort(-np.minimum(p, mean).sum(1) * 2 / (n + mean.sum()), kind="stable")[:MIDDLE]
+    best, near = np.full(len(rep), -1), np.zeros(len(rep))
+    for c in centre.tolist():
+        bound = np.minimum(p, p[c]).sum(1)
+        ratio = np.where(enough(bound, n, n[c]) & (4 * np.minimum(n, n[c]) >= 3 * np.maximum(n, n[c])), bound / (n + n[c]), 0)
+        ratio[c] = 0
+        best = np.where(ratio > near, c, best)
+        near = np.maximum(near, ratio)
+    kept = np.flatnonzero(best >= 0)
+    on = centre if table.column("blocks")[0].as_py() > 1 else centre[:0]
+    columns = {"a": rep[kept], "b": rep[best[kept]], "near": near[kept], "cell": np.full(len(on), key[0].as_py()), "rep": rep[on], "n": n[on]}
+    pad = {"a": (0, len(on)), "b": (0, len(on)), "near": (0, len(on)), "cell": (len(kept), 0), "rep": (len(kept), 0), "n": (len(kept), 0)}
+    out = {}
+    for name, (before, after) in pad.items():
+        kind = pa.float64() if name == "near" else pa.int64()
+        out[name] = pa.concat_arrays([pa.nulls(before, kind), pa.array(columns[name], kind), pa.nulls(after, kind)])
+    out["point"] = pa.concat_arrays([pa.nulls(len(kept), pa.binary()), pa.array(blobs.take(pa.array(on)).to_pylist(), pa.binary())])
+    return pa.table(out)
+
+
 class CountTree:
     """A packed R-tree over count vectors: leaves of LEAF points of like size, and four nodes to a node above them."""
 
@@ -371,9 +416,9 @@ def join_cells(members: DataFrame) -> DataFrame:
         known: dict[int, int] = {}
         row = np.array([known.setdefault(r, k) for k, r in enumerate(rep.tolist())], np.int64)  # a class's first row
         fine = {k: point(blobs[k]) for k in known.values()}
-        coarse = np.zeros((len(rep), GROUPS), np.uint16)
+        coarse = np.zeros((len(rep), GROUPS), np.int32)
         for k, x in fine.items():
-            coarse[k] = np.minimum(folded(x), 65535)
+            coarse[k] = folded(x)
         start = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
         size = np.diff(np.concatenate([start, [len(cell)]]))
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -409,8 +454,8 @@ def join_cells(members: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def sets_of(df: DataFrame, wanted: DataFrame) -> DataFrame:
-    """rep, sets (binary): the shingles of the documents in a column rep, read from the texts again.
+def sets_of(df: DataFrame, wanted: DataFrame, stored: Stored, name: str) -> DataFrame:
+    """rep, sets (binary), stored: the shingles of the documents in a column rep, read from the texts again.
 
     Texts pass a filter of the wanted ids before they are worked on, so they are not shuffled; what passes it by chance is dropped in the join.
     """
@@ -431,7 +476,9 @@ def sets_of(df: DataFrame, wanted: DataFrame) -> DataFrame:
         chunks.give_back()
 
     found = text_or_empty(df.filter("doc_id is not null")).withColumn("h", F.xxhash64(F.col("doc_id").cast("long"))).mapInArrow(run, "rep long, sets binary")
-    return found.join(wanted, "rep", "left_semi")
+    found = stored.put(found.join(wanted, "rep", "left_semi"), name)
+    bits.destroy()
+    return found
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -456,13 +503,16 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def against_components(outside: DataFrame, parts: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) between classes and the components beside which they stand: rows of rep and component, all that a class links with there, or one for it.
 
-    A component's members are cut into blocks by hash, each class goes to all of them, and overlaps with a block's members are
+    A component's members, and the classes beside it, are cut into blocks by hash, every two of which meet. Overlaps with a block's members are
     counted through the block's inverted lists: no pair leaves its task but a link for each class and block.
     """
+    wide = outside.groupBy("component").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("sides"))
     inside = parts.select(F.col("node").alias("rep"), "component").join(outside.select("component").distinct(), "component", "left_semi")
     blocks = inside.groupBy("component").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    inside = inside.join(blocks, "component").select("component", F.pmod(F.xxhash64("rep", F.lit(9)), F.col("blocks")).cast("int").alias("block"), "rep", F.lit(True).alias("inside"))
-    outside = outside.join(blocks, "component").select("component", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "rep", F.lit(False).alias("inside"))
+    shape = blocks.join(wide, "component")
+    deal = lambda by: F.pmod(F.xxhash64("rep", F.lit(9)), F.col(by)).cast("int")
+    inside = inside.join(shape, "component").select("component", deal("blocks").alias("block"), F.explode(F.expr("sequence(0, sides - 1)")).alias("side"), "rep", F.lit(True).alias("inside"))
+    outside = outside.join(shape, "component").select("component", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), deal("sides").alias("side"), "rep", F.lit(False).alias("inside"))
     dealt = inside.unionByName(outside).join(sets, "rep")
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -482,7 +532,7 @@ def against_components(outside: DataFrame, parts: DataFrame, sets: DataFrame) ->
                 links.append((rep[k], rep[there[hit[0]]]))
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
-    return dealt.groupBy("component", "block").applyInArrow(run, "a long, b long")
+    return dealt.groupBy("component", "block", "side").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, stored: Stored) -> DataFrame:
@@ -490,33 +540,43 @@ def near_duplicates(df: DataFrame, stored: Stored) -> DataFrame:
     spark = df.sparkSession
     seen = stored.put(survey(df), "survey")
     docs = seen.filter("hi is not null").select("doc_id", "hi", "lo", "n", "point")
-    frequent = seen.filter("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")).filter(F.col("times") >= FREQUENT)
-    frequent = spark.sparkContext.broadcast(bit_filter(frequent.select("shingle")))
+    times = seen.filter("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")).filter(F.col("times") >= FREQUENT)
+    times = stored.put(times, "times")
+    frequent = spark.sparkContext.broadcast(bit_filter(times.select("shingle")))
     # any_value: the sets of a class agree
     classes = docs.filter("doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("point").alias("point"))
     classes = stored.put(classes, "classes")
-    found = stored.put(cells(postings(df, frequent, n_parts(df.count(), BUCKET_DOCS, most=200_000))), "cells")
+    buckets, hot = n_parts(df.count(), BUCKET_DOCS, most=200_000), spark.sparkContext.broadcast(hot_keys(times))
+    found = stored.put(cells(postings(df, frequent, buckets, hot), buckets), "cells")
+    frequent.destroy()
+    hot.destroy()
+    stored.drop("times")
 
     names = classes.filter("n > 0").select("lo", "rep")
     shapes = classes.filter("n > 0").select("rep", "point", "n").dropDuplicates(["rep", "n", "point"])
     early = found.filter("lo is not null").select("cell", "lo").join(names, "lo").select("cell", "rep").distinct()
-    first = stored.put(closest(early.join(shapes, "rep")), "first-pairs")
+    first = stored.put(closest(early.join(shapes, "rep"), stored), "first-pairs")
+    stored.drop("closest", "closest-sizes")
     links = stored.put(checked(df, first, stored, "first"), "first-links")
 
-    sets = found.filter("members is not null").groupBy("cell").agg(F.any_value("members").alias("members"))
+    sets = found.filter("members is not null").groupBy("cell", "part").agg(F.any_value("members").alias("members"))
+    # one cell may come from several buckets; its parts are of one bucket each
+    sets = sets.join(sets.groupBy("cell").agg(F.min("part").alias("first")), "cell").filter(f"part = first or part >= {buckets}").select("cell", "members")
     members = sets.mapInArrow(_unpack, "cell long, lo long").join(names, "lo").select("cell", "rep").distinct()
     parts = components(links, stored)
     placed = members.join(parts, F.col("rep") == F.col("node"), "left").select("cell", "rep", F.coalesce("component", "rep").alias("component"))
+    placed = stored.put(placed, "placed")
     shares = placed.groupBy("cell", "component").agg(F.count("*").alias("n"))
     mixed = shares.groupBy("cell").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("all")).filter("most < all")
-    mixed = stored.put(placed.join(mixed, "cell"), "mixed")
+    # written before the join, which then has nothing beside it and can split large cells
+    mixed = stored.put(placed.join(stored.put(mixed, "mixed-cells"), "cell"), "mixed")
     # in a large cell with a large component, the others meet that component once, whatever the number of cells they share with it
     large = (F.col("most") > LEAF) & (F.col("all") > 4 * LEAF)
     outside = mixed.filter(large & (F.col("component") != F.col("largest"))).select("rep", F.col("largest").alias("component")).distinct()
     outside = stored.put(outside, "outside")
     if not outside.isEmpty():
         beside = parts.join(outside.select("component").distinct(), "component", "left_semi").select(F.col("node").alias("rep"))
-        known = stored.put(sets_of(df, stored.put(beside.union(outside.select("rep")).distinct(), "beside-wanted")), "beside-sets")
+        known = sets_of(df, stored.put(beside.union(outside.select("rep")).distinct(), "beside-wanted"), stored, "beside-sets")
         links = stored.put(links.union(against_components(outside, parts, known)), "outside-links")
         parts = components(links, stored)
         mixed = mixed.filter(~large | (F.col("component") != F.col("largest"))).drop("component").join(parts, F.col("rep") == F.col("node"), "left")
@@ -526,6 +586,7 @@ def near_duplicates(df: DataFrame, stored: Stored) -> DataFrame:
     links = links.union(checked(df, second, stored, "second"))
     # rows of one doc_id with different texts are one node already; classes of one sequence are one row of classes
     parts = components(links.union(docs.join(classes.select("hi", "lo", "rep"), ["hi", "lo"]).filter("n > 0 and doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))), stored)
+    stored.drop(*(name for name in list(stored.paths) if name != "survey" and not name.startswith("stars")))
     out = docs.join(parts, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
@@ -546,7 +607,7 @@ def checked(df: DataFrame, pairs: DataFrame, stored: Stored, name: str) -> DataF
     wanted = stored.put(wanted, f"{name}-wanted")
     if wanted.isEmpty():
         return pairs
-    return verify(pairs, stored.put(sets_of(df, wanted), f"{name}-sets"))
+    return verify(pairs, sets_of(df, wanted, stored, f"{name}-sets"))
 
 
 def _unpack(batches):

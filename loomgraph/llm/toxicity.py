@@ -8,7 +8,8 @@ every row is scored, over its whole text, by text alone.
 
 Null and empty texts are scored as texts without words. Labels that are null, or not 0 or 1, are not learned from; of repeated labels of a
 document the highest counts. Without labels of both classes every score is the share of label 1 (0.0 where there are none).
-Repeated rows give repeated results. Empty tables give no rows.
+Rows without doc_id are scored, are not held out, and have no label. Repeated rows give repeated results, equal texts equal scores. Texts are scored whole, whatever
+their length. Empty tables give no rows. Other columns are not read, whatever their names; clean_rows() keeps them.
 """
 
 from __future__ import annotations
@@ -185,7 +186,7 @@ class Model:
 
 
 def held_out() -> Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def fit(df: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -221,6 +222,8 @@ def fit(df: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Mod
                 yield out()
                 counts = {}
         yield out()
+        del counts
+        chunks.give_back()
 
     columns = [F.coalesce(F.sum(F.when((F.col("fold") == f) & (F.col("toxic") == t), F.col("n"))), F.lit(0)).alias(f"n{f}_{t}") for f in range(FOLDS) for t in (0, 1)]
     counted = sample.mapInArrow(count, "word string, fold int, toxic int, n long").groupBy("word").agg(*columns)
@@ -242,8 +245,10 @@ def fit(df: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Mod
         for batch in (part for whole in batches for part in chunks.slices(whole, 0)):
             rows = [features(t, parts.value[f]) for t, f in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1), batch.column(2)], ["x", "toxic", "fold"])
+        chunks.give_back()
 
     table = sample.mapInArrow(measure, "x array<double>, toxic int, fold int").toArrow()
+    parts.destroy()
     x = table.column("x").combine_chunks().flatten().to_numpy().reshape(-1, FEATURES)
     y, fold = (table.column(c).to_numpy() for c in ("toxic", "fold"))
     order = np.lexsort((*x.T, y, fold))

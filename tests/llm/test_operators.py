@@ -91,6 +91,7 @@ def test_toxicity(spark, odd, empty):
     assert len(scored) == len(ROWS) and all(0 <= r.score <= 1 for r in scored)
     assert toxicity.score(empty, model).collect() == []
     assert toxicity.clean_rows(odd, model).columns == odd.columns
+    assert {r.held for r in odd.select(toxicity.held_out().alias("held"), "doc_id").filter("doc_id is null").collect()} == {False}
     nothing = toxicity.fit(empty, known.limit(0))
     assert {r.score for r in toxicity.score(odd, nothing).collect()} == {0.0}
 
@@ -133,6 +134,42 @@ def test_resampling(spark, odd, empty, stored):
     assert {r.log_weight for r in resampling.resample(odd, labels.limit(0), stored).collect()} == {0.0}
 
 
+def test_resampling_by_hand(spark, stored):
+    """Weights and keys from counts of n-grams kept in dicts; equal texts weigh the same wherever they stand."""
+    import math
+    import random
+
+    import xxhash
+
+    rnd = random.Random(4)
+    docs = [(i, " ".join(rnd.choices(["good", "bad", "plain", "word", "and,", "so."], k=rnd.randrange(0, 30)))) for i in range(200)]
+    docs += [(None, "no id"), (None, "no id"), (None, "nor this"), (500, docs[7][1])]
+    labels = [(i, int("good" in t)) for i, t in docs[:150]]
+    got = resampling.resample(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, quality int"), stored).collect()
+    h = lambda t: xxhash.xxh32_intdigest(t.encode())
+
+    def grams(text):
+        tokens = [h(t) for t in re.findall(r"\w+|[^\w\s]+", text)]
+        pairs = [((a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F) % 2**64 >> 40) % resampling.BUCKETS for a, b in zip(tokens, tokens[1:])]
+        return [t % resampling.BUCKETS for t in tokens] + pairs
+
+    raw, target = Counter(), Counter()
+    good = {i for i, q in labels if q}
+    for i, t in docs:
+        raw.update(grams(t))
+        if i in good:
+            target.update(grams(t))
+    share = lambda c, g: math.log((c[g] + 1) / (sum(c.values()) + resampling.BUCKETS))
+    want = Counter()
+    for i, t in docs:
+        weight = sum(share(target, g) - share(raw, g) for g in grams(t))
+        u = xxhash.xxh64_intdigest(f" {t}" if i is None else str(i), resampling.SEED)
+        want[i, round(weight, 6), round(weight - math.log(-math.log((u + 0.5) / 2**64)), 6)] += 1
+    assert Counter((r.doc_id, round(r.log_weight, 6), round(r.key, 6)) for r in got) == want
+    same = {r.log_weight for r in got if r.doc_id in (7, 500)}
+    assert len(same) == 1
+
+
 def test_kth_largest(spark):
     values = [5, -3, 5, 1 << 62, -(1 << 63), 0, (1 << 63) - 1, 7]
     df = spark.createDataFrame([(v,) for v in values], "x long")
@@ -168,6 +205,9 @@ def test_private_data(odd, empty, stored, spark):
     clean = {r.doc_id: r.text for r in private_data.sanitise(odd, stored).collect()}
     assert clean[6] == "Mail <EMAIL> or <PHONE>; host <IP>, card <CARD>." and clean[3] is None and clean[1] == ROWS[0][1]
     assert private_data.sanitise(odd, stored).columns == odd.columns
+    named = odd.withColumn("_key", F.lit(1)).withColumn("_spans", F.lit("x")).withColumn("spans", F.lit("y")).withColumn("row", F.lit("z"))
+    assert private_data.sanitise(named, stored).columns == named.columns
+    assert {r.doc_id: r.text for r in private_data.sanitise(named, stored).collect()} == clean
     assert private_data.scan(empty, stored).collect() == [] and private_data.sanitise(empty, stored).collect() == []
 
 
@@ -277,8 +317,8 @@ def test_ablations(odd):
 
 
 def test_shingle_join(spark, stored, sample, monkeypatch):
-    for frequent, leaf, block in ((32, 16, 2048), (4, 3, 20)):
-        for name, value in (("FREQUENT", frequent), ("LEAF", leaf), ("BLOCK", block)):
+    for frequent, leaf, block, hot in ((32, 16, 2048, 200_000), (4, 3, 20, 200_000), (2, 4, 15, 12)):
+        for name, value in (("FREQUENT", frequent), ("LEAF", leaf), ("BLOCK", block), ("HOT_POSTINGS", hot)):
             monkeypatch.setattr(shingle_join, name, value)
         got = shingle_join.near_duplicates(spark.createDataFrame(sample, "doc_id long, text string").repartition(5), stored).collect()
         sets = {}
@@ -303,6 +343,14 @@ def test_shingle_join_odd_rows(spark, odd, empty, stored):
     assert shingle_join.near_duplicates(empty, stored).collect() == [] and shingle_join.one_of_each(empty, stored).collect() == []
 
 
+def test_bound_of_very_long_sets():
+    """Groups of more than 65,535 shingles: the bound stays above the overlap, in the tree as well."""
+    points = np.full((20, shingle_join.GROUPS), 80_000, np.int32)
+    sizes = points.sum(1, dtype=np.int64)
+    assert shingle_join.enough(shingle_join.overlap(points[0], points[1]), sizes[0], sizes[1])
+    assert len(shingle_join.CountTree(points, sizes).candidates(points[0], int(sizes[0]))) == 20
+
+
 def test_tree_prunes_nothing_that_overlaps():
     rng = np.random.default_rng(0)
     points = rng.poisson(2, size=(300, 32))
