@@ -41,6 +41,8 @@ FREQUENT, FILTER_BITS = 8, 1 << 26
 BUCKET_DOCS, EARLY_KEYS, MIDDLE, LEAF, BLOCK = 8192, 4, 4, 16, 2048
 #: Documents with a shingle from which on its postings are dealt to several tasks, of so many postings each about.
 HOT_POSTINGS = 200_000
+#: Members of a component, and classes beside it, that meet in one task.
+MEETING = 512
 # odd multipliers, one for each word of a shingle
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -506,9 +508,9 @@ def against_components(outside: DataFrame, parts: DataFrame, sets: DataFrame) ->
     A component's members, and the classes beside it, are cut into blocks by hash, every two of which meet. Overlaps with a block's members are
     counted through the block's inverted lists: no pair leaves its task but a link for each class and block.
     """
-    wide = outside.groupBy("component").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("sides"))
+    wide = outside.groupBy("component").agg(F.ceil(F.count("*") / F.lit(MEETING)).cast("int").alias("sides"))
     inside = parts.select(F.col("node").alias("rep"), "component").join(outside.select("component").distinct(), "component", "left_semi")
-    blocks = inside.groupBy("component").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    blocks = inside.groupBy("component").agg(F.ceil(F.count("*") / F.lit(MEETING)).cast("int").alias("blocks"))
     shape = blocks.join(wide, "component")
     deal = lambda by: F.pmod(F.xxhash64("rep", F.lit(9)), F.col(by)).cast("int")
     inside = inside.join(shape, "component").select("component", deal("blocks").alias("block"), F.explode(F.expr("sequence(0, sides - 1)")).alias("side"), "rep", F.lit(True).alias("inside"))
@@ -559,9 +561,9 @@ def near_duplicates(df: DataFrame, stored: Stored) -> DataFrame:
     stored.drop("closest", "closest-sizes")
     links = stored.put(checked(df, first, stored, "first"), "first-links")
 
-    sets = found.filter("members is not null").groupBy("cell", "part").agg(F.any_value("members").alias("members"))
-    # one cell may come from several buckets; its parts are of one bucket each
-    sets = sets.join(sets.groupBy("cell").agg(F.min("part").alias("first")), "cell").filter(f"part = first or part >= {buckets}").select("cell", "members")
+    # one cell may come from several buckets; parts of a cell are of one bucket each
+    part = F.when(F.col("part") >= buckets, F.col("part"))
+    sets = found.filter("members is not null").groupBy("cell", part.alias("part")).agg(F.any_value("members").alias("members")).drop("part")
     members = sets.mapInArrow(_unpack, "cell long, lo long").join(names, "lo").select("cell", "rep").distinct()
     parts = components(links, stored)
     placed = members.join(parts, F.col("rep") == F.col("node"), "left").select("cell", "rep", F.coalesce("component", "rep").alias("component"))

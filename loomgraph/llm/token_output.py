@@ -11,8 +11,8 @@ little-endian: magic "RPB1", a header of eight unsigned 32-bit integers (termina
 symbols in bytes, three zeros), left and right sides of the rules (unsigned 32-bit), expansion lengths (unsigned 32-bit),
 first symbol and first id of each document and of the end (unsigned 32-bit), doc_ids (signed 64-bit), symbols.
 
-Null texts count as empty; an empty text is its end id alone. Repeated rows are written as often as they occur, ordered by text
-where doc_ids tie. Rows without doc_id come first; the least long stands for none in the format. An empty table gives no blocks.
+Null texts count as empty; an empty text is its end id alone. Texts are encoded whole, whatever their length; one is held at a time, and never cut between blocks. Columns but doc_id and
+text are not read. Repeated rows are written as often as they occur, ordered by the text's hash, then text, where doc_ids tie. Rows without doc_id come first; the least long stands for none in the format. An empty table gives no blocks.
 """
 
 from __future__ import annotations
@@ -203,7 +203,9 @@ class Block:
 def write_shards(df: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, shard_docs: int = SHARD_DOCS, block_ids: int = BLOCK_IDS) -> None:
     """Writes the documents' ids in ascending doc_id order."""
     df = df.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long").alias("doc_id"), "text")
-    ordered = text_or_empty(df).repartitionByRange(n_parts(df.count(), shard_docs), "doc_id").sortWithinPartitions("doc_id", "text")
+    # the hash deals rows of one doc_id, or of none, to several shards
+    keyed = text_or_empty(df).withColumn("h", F.xxhash64("text"))
+    ordered = keyed.repartitionByRange(n_parts(df.count(), shard_docs), "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
 
     def run(batches):
         from pyspark import TaskContext

@@ -3,6 +3,7 @@
 from collections import Counter, defaultdict
 
 import public_tokenizers
+from pyspark.sql import functions as F
 import pytest
 
 import corpus_pipeline
@@ -79,3 +80,24 @@ def test_stages(spark, docs):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).columns[:4] == ["doc_id", "start", "length", "ids_crc32"]
+
+
+def test_odd_rows_through_all_stages(spark, odd, empty, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, an empty table and further columns pass all stages."""
+    from .conftest import KINDS, make
+
+    words = " ".join(f"word{i}" for i in range(400))
+    long = [(60, words, "en", 0), (61, words + " more", "en", 0), (None, words.replace("word", "term"), None, 0), (None, None, None, 0), (62, " ".join(f"very{i} long{i}" for i in range(60_000)), "en", 0)]
+    both = odd.union(make(spark, long)).withColumn("_row", F.lit(1)).withColumn("spans", F.lit(2))
+    labels = tmp_path / "labels.parquet"
+    spark.read.parquet(f"{SF}/labels.parquet").limit(0).write.parquet(str(labels))
+    for table in (both, empty):
+        now, stored = table, common.Stored(spark)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, now, str(tmp_path))
+            if name != "packing":
+                assert out.columns == table.columns
+                now = stored.put(out, name)
+        packed = Counter(r.doc_id for r in out.collect())
+        assert (packed[60], packed[61]) == ((1, 0) if table is both else (0, 0)) and (62 in packed) == (None in packed) == (table is both)
+    assert KINDS

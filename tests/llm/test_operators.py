@@ -318,7 +318,7 @@ def test_ablations(odd):
 
 def test_shingle_join(spark, stored, sample, monkeypatch):
     for frequent, leaf, block, hot in ((32, 16, 2048, 200_000), (4, 3, 20, 200_000), (2, 4, 15, 12)):
-        for name, value in (("FREQUENT", frequent), ("LEAF", leaf), ("BLOCK", block), ("HOT_POSTINGS", hot)):
+        for name, value in (("FREQUENT", frequent), ("LEAF", leaf), ("BLOCK", block), ("HOT_POSTINGS", hot), ("MEETING", block)):
             monkeypatch.setattr(shingle_join, name, value)
         got = shingle_join.near_duplicates(spark.createDataFrame(sample, "doc_id long, text string").repartition(5), stored).collect()
         sets = {}
