@@ -101,7 +101,7 @@ def invocation(text: Column) -> Column:
 
 
 def default_argument(tool: Column) -> Column:
-    return F.when(tool == "final_answer", "answer").when(tool.contains("search"), "query").when(tool.contains("calc"), "expression").otherwise("input")
+    return F.when(tool == "final_answer", "answer").when(tool == "search", "query").when(tool == "calculator", "expression").otherwise("input")
 
 
 def call_id(text: Column) -> Column:
@@ -110,6 +110,11 @@ def call_id(text: Column) -> Column:
     return F.when(found != "", found)
 
 
+def call_body(text: Column) -> Column:
+    """What follows the line with a call's id."""
+    return F.regexp_replace(text, r"(?i)^(?:Call id|tool_call_id):[^\n]*\n", "")
+
+
 def populate(template: Column, values: dict[str, Column]) -> Column:
     for key, value in values.items():
         template = F.replace(template, F.lit("{{" + key + "}}"), F.coalesce(value.cast("string"), F.lit("")))
@@ -125,6 +130,11 @@ def looks_like_state(x: Column) -> Column:
     return F.contains(x, F.lit("_")) | ((F.length(x) > 1) & x.rlike("^[a-z]") & x.rlike("[A-Z]"))
 
 
+def is_state_name(x: str) -> bool:
+    """As looks_like_state, for one text."""
+    return "_" in x or (len(x) > 1 and x[0].islower() and any(c.isupper() for c in x))
+
+
 def supports_stop(model: Column) -> Column:
     """Whether a model takes a stop parameter: the o-series from o3 on, and gpt-5, do not."""
     return ~F.regexp_extract(model, r"([^/]+)$", 1).rlike(r"^(o3[-\d]*|o4[-\d]*|o3-mini[-\d]*|gpt-5.*)$")

@@ -227,8 +227,8 @@ class DependencyGraph:
         if on_cycle == "ignore":
             out = out.join(self.cyclic, "node_id", "left_anti")
         out = out.join(self.nodes.select("node_id", "node_seq"), "node_id")
-        by = Window.orderBy(F.desc("level") if dependents_first else F.col("level"), "node_seq")
-        return out.select("node_id", "level", (F.row_number().over(by) - 1).alias("processing_order"))
+        by = -F.col("level") if dependents_first else F.col("level")
+        return iterate.numbered(out, [by], "node_seq", "processing_order").select("node_id", "level", F.col("processing_order").cast("int").alias("processing_order"))
 
     def processing_plan(self) -> DataFrame:
         """Levels with degrees, cycle marks, and whether a node needs none of its own level."""

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import call_id
+from ..functions.coercion import json_type
+from ..functions.text import call_id, default_argument, is_state_name
 
 
 def messages(steps: DataFrame, summary: bool = False) -> DataFrame:
@@ -69,9 +70,9 @@ def trimmed(history: DataFrame, most: int = 6, drop: int = 2) -> DataFrame:
     return out.filter((F.col("_all") <= most) | (F.col("_n") > drop)).drop("_n", "_all")
 
 
-def call_pairs(calls: DataFrame, responses: DataFrame) -> DataFrame:
-    """Tool calls (call_id, …) with the responses (content) that name them."""
-    return calls.join(responses.withColumn("call_id", call_id(F.col("content"))), "call_id", "left")
+def call_pairs(calls: DataFrame, responses: DataFrame, *within: str) -> DataFrame:
+    """Tool calls (call_id, …) with the responses (content) that name them; within: further columns that both share, such as the run."""
+    return calls.join(responses.withColumn("call_id", call_id(F.col("content"))), [*within, "call_id"], "left")
 
 
 def registered(calls: DataFrame, tools: DataFrame) -> DataFrame:
@@ -120,9 +121,7 @@ def references(value) -> list[str]:
         value = list(value.values())
     if isinstance(value, list):
         return [r for v in value for r in references(v)]
-    if isinstance(value, str) and ("_" in value or (len(value) > 1 and value[0].islower() and any(c.isupper() for c in value))) and " " not in value:
-        return [value]
-    return []
+    return [value] if isinstance(value, str) and is_state_name(value) else []
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -152,3 +151,62 @@ def tool_schemas(inputs: DataFrame) -> DataFrame:
 def output_type(kind: Column) -> Column:
     """The typed output of a value's kind: string → text, bytes → image, array → audio, null → null, else text."""
     return F.when(kind.isNull(), None).when(kind == "binary", "image").when(kind == "array", "audio").otherwise("text")
+
+
+def map_arguments(arguments: Column, inputs: Column, tool: Column) -> Column:
+    """A call's arguments (JSON) as an object: an object as it is, nothing for null, any other value under the name of the tool's only input.
+
+    inputs: the names of a tool's inputs, null for an agent. A tool without inputs gets nothing; with more than one, and for agents, the value goes
+    under the tool's default argument. Without a tool there is nothing to name it by.
+    """
+    none = F.lit("{}")
+    under = lambda name: F.concat(F.lit("{"), F.to_json(F.array(name)).substr(F.lit(2), F.length(F.to_json(F.array(name))) - 2), F.lit(":"), arguments, F.lit("}"))
+    kind = json_type(arguments)
+    out = F.when(arguments.isNull() | (kind == "null"), none).when(kind == "object", arguments).when(tool.isNull(), none)
+    return out.when(F.size(inputs) == 0, none).when(F.size(inputs) == 1, under(F.get(inputs, 0))).otherwise(under(default_argument(tool)))
+
+
+def _shown(value) -> str:
+    """A plain value as text; a nested one as JSON."""
+    if isinstance(value, str):
+        return value
+    if value is None or isinstance(value, bool):
+        return {None: "", True: "True", False: "False"}[value]
+    return json.dumps(value, ensure_ascii=False)
+
+
+def pretty(value: dict) -> str:
+    """An object's entries, one a line: lists of texts in brackets, entries of an object within it indented below its name."""
+    lines = []
+    for k, v in value.items():
+        if isinstance(v, list) and v and all(isinstance(x, str) for x in v):
+            lines.append(f"{k}: [{', '.join(v)}]")
+        elif isinstance(v, dict):
+            lines += [f"{k}:", *(f"  {n}: {_shown(x)}" for n, x in v.items())]
+        else:
+            lines.append(f"{k}: {_shown(v)}")
+    return "\n".join(lines).strip()
+
+
+def observed(value, tool: str) -> str:
+    """What a run records of a tool's output. The sentences are fixed values."""
+    if value is None:
+        return "Tool executed successfully but returned no result."
+    if isinstance(value, str):
+        return value if value.strip() else "Tool executed but returned empty string."
+    shown = pretty(value) if isinstance(value, dict) else ""
+    shown = shown or json.dumps(value, ensure_ascii=False, indent=2)
+    return shown if shown not in ("{}", "null") or isinstance(value, dict) else f"Tool '{tool}' executed successfully."
+
+
+@F.pandas_udf(T.StringType())
+def observation(output: pd.Series, tool: pd.Series) -> pd.Series:
+    """observed() for outputs as JSON (null: none); what does not parse counts as a text."""
+
+    def one(o, t):
+        try:
+            return observed(None if o is None else json.loads(o), t)
+        except ValueError:
+            return observed(o, t)
+
+    return pd.Series([one(o, t) for o, t in zip(output, tool, strict=True)])

@@ -99,7 +99,7 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
         {
             "step_type": kind,
             "model_output": F.when(action, F.col("content")),
-            "observations": F.when(action & (F.col("step_number") % 2 == 1), F.array(F.concat(F.lit("Call id: c"), F.col("step_number").cast("string"), F.lit("\n"), F.left("content", F.lit(20))))),
+            "observations": F.when(action & (F.col("step_number") % 2 == 1), F.array(F.concat(F.lit("Call id: c"), F.col("step_number").cast("string"), F.lit("\n"), F.col("content")))),
             "input_tokens": (F.col("n_chars") / 4).cast("long"),
             "output_tokens": (F.col("n_chars") / 8).cast("long"),
             "duration_s": F.col("n_chars") / 100.0,

@@ -12,7 +12,7 @@ from collections import defaultdict
 from collections.abc import Callable
 from itertools import count
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Edges up to which a graph is worked on in one task (about 300 bytes each).
@@ -20,9 +20,11 @@ LOCAL_EDGES = 2_000_000
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the cluster's shared folder; in a folder of our own only where none is set, as in tests."""
+    """A new path in the cluster's shared folder; in a folder of our own only where none is set and Spark is local, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="loomgraph-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/loomgraph/{name}-{uuid.uuid4().hex}"
@@ -143,15 +145,14 @@ def _tarjan(rows: list[tuple]) -> list[tuple]:
     return found
 
 
-def trimmed(pairs: DataFrame, rounds: int = 10_000) -> DataFrame:
+def trimmed(pairs: DataFrame) -> DataFrame:
     """The edges between nodes that have both edges in and edges out, again and again."""
     n = pairs.count()
-    for _ in range(rounds):
+    while True:
         pairs = stored(pairs.join(pairs.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(pairs.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
         n, was = pairs.count(), n
         if n == was:
-            break
-    return pairs
+            return pairs
 
 
 def _spread(labels: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -298,8 +299,25 @@ def shortest_chain(edges: DataFrame, start, end, limit: int = LOCAL_EDGES) -> li
     return path[::-1]
 
 
+#: Consecutive numbers of a column that are counted together.
+RUN = 1 << 16
+
+
+def numbered(rows: DataFrame, keys: list[Column], seq: str, name: str) -> DataFrame:
+    """rows with their place from 0, in the order of keys and then of seq (a whole number, the same for no two rows of equal keys).
+
+    Only a count for each run of RUN numbers goes through one task; rows are numbered within their run.
+    """
+    named = {f"_k{i}": k for i, k in enumerate([*keys, F.floor(F.col(seq) / F.lit(RUN))])}
+    out = rows.withColumns(named)
+    counts = out.groupBy(*named).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy(*named).rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(*(F.col(k).alias(f"{k}_") for k in named), F.coalesce(before, F.lit(0)).alias("_before"))
+    out = out.withColumn("_within", F.row_number().over(Window.partitionBy(*named).orderBy(seq)))
+    out = out.join(counts, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in named])
+    return out.withColumn(name, F.col("_before") + F.col("_within") - 1).drop("_within", "_before", *named, *(f"{k}_" for k in named))
+
+
 def _ranked(order: DataFrame) -> DataFrame:
     """Places by (place of the parent, edge): a level of a search is small beside its graph."""
-    from pyspark.sql import Window
-
     return order.select("node", F.row_number().over(Window.orderBy("by")).cast("long").alias("place"))

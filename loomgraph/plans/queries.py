@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import json
 from collections.abc import Callable
 
 import pandas as pd
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, coercion, literals, text
 from ..functions.strength import DIMENSIONS
-from ..operators import metrics, nested, runs
+from ..operators import metrics, nested, projects, runs
 from ..operators.graph import is_system
 from ..operators.hierarchy import KnowledgeGraph
 from ..schemas import DEPENDENCY_TYPES, PROFILES
@@ -318,10 +320,14 @@ def _(spark, d):
     return k.edges.filter("edge_type = 'Contains'").join(k.by_type("Type").select(F.col("kg_id").alias("target"), "name"), "target").select("source", "target", "name")
 
 
-@query("J10_new_files", "SELECT file_path FROM fx_files WHERE NOT has_ast")
+@query("J10_new_files", "SELECT file_path, CASE WHEN has_ast THEN 'kept' WHEN contains(content, '!') THEN 'Failed' ELSE 'new' END AS ast FROM fx_files WHERE status <> 'Completed' OR NOT has_ast")
 def _(spark, d):
-    f = fx.entries(spark, d)
-    return f.select("file_path").join(f.filter(F.map_contains_key("level_data", "Ast")).select("file_path"), "file_path", "left_anti")
+    kept = store.FileStore(spark, iterate.shared_path(spark, "store"))
+    old = F.transform_values(F.map_filter("level_data", lambda k, _: k == "Ast"), lambda _, v: v.withField("content", F.lit("kept")))
+    kept.upsert(_store_entries(spark, d).withColumn("level_data", old))
+    out = pipeline.process(_found_files(spark, d), kept, {"Ast": _plain_ast, "DomainKeywords": _plain_domains}, "2024-01-01 00:00:00")
+    ast = F.col("level_data")["Ast"]
+    return out.select("file_path", F.when(~ast["is_success"], "Failed").when(ast["content"] == "kept", "kept").otherwise("new").alias("ast"))
 
 
 @query("J11_substitution", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' ELSE o_orderstatus END AS value FROM orders")
@@ -336,12 +342,12 @@ def _(spark, d):
     return runs.registered(calls, spark.createDataFrame([("click",), ("view",)], "tool string")).select("event_id", "tool", "error")
 
 
-@query("J13_call_responses", "SELECT run_id, step_number, 'c' || step_number AS call_id, left(content, 20) AS body FROM fx_steps WHERE role <> 'user' AND step_number % 2 = 1")
+@query("J13_call_responses", "SELECT run_id, step_number, 'c' || step_number AS call_id, content AS body FROM fx_steps WHERE role <> 'user' AND step_number % 2 = 1")
 def _(spark, d):
     s = fx.steps(spark, d).filter("observations is not null")
     calls = s.select("run_id", "step_number", F.concat(F.lit("c"), F.col("step_number").cast("string")).alias("call_id"))
-    answers = s.select(F.col("run_id").alias("of"), text.call_id(F.col("observations")[0]).alias("call_id"), F.substring_index(F.col("observations")[0], "\n", -1).alias("body"), F.substring(F.col("observations")[0], F.length(F.concat(F.lit("Call id: c"), F.col("step_number").cast("string"))) + 2, F.lit(100)).alias("rest"))
-    return calls.join(answers, (calls.run_id == answers.of) & (calls.call_id == answers.call_id)).select(calls.run_id, "step_number", calls.call_id, F.col("rest").alias("body"))
+    responses = s.select("run_id", F.explode("observations").alias("content"))
+    return runs.call_pairs(calls, responses, "run_id").select("run_id", "step_number", "call_id", text.call_body(F.col("content")).alias("body"))
 
 
 # aggregations
@@ -451,17 +457,37 @@ def _(spark, d):
     return g(spark, d).coupling_intensity().select("edge_seq", r6("intensity").alias("intensity"))
 
 
-@query("A16_solution_summary", "SELECT project, count(*) AS n_types, count(DISTINCT namespace) AS n_namespaces, string_agg(DISTINCT namespace, ',' ORDER BY namespace) AS namespaces FROM fx_nodes GROUP BY 1")
-def _(spark, d):
+_PROJECTS = """pr AS (SELECT DISTINCT right(project, 1) AS solution, project, CASE WHEN right(project, 1) = '3' THEN 'VB' ELSE 'C#' END AS language FROM fx_nodes UNION ALL SELECT '1', 'Brand#0', 'C#'),
+dc AS (SELECT project, concat(name, CASE WHEN project = 'Brand#12' THEN '.txt' ELSE '.cs' END) AS name FROM fx_nodes)"""
+
+
+def _projects(spark, d):
+    """Projects by their brand's last digit, one without documents, one without documents of its language."""
     n = fx.view(spark, d, "fx_nodes")
-    return n.groupBy("project").agg(F.count("*").alias("n_types"), F.count_distinct("namespace").alias("n_namespaces"), F.array_join(F.array_sort(F.collect_set("namespace")), ",").alias("namespaces"))
+    last = F.right("project", F.lit(1))
+    some = n.select(last.alias("solution"), "project", F.when(last == "3", "VB").otherwise("C#").alias("language")).distinct()
+    documents = n.select("project", F.concat("name", F.when(F.col("project") == "Brand#12", ".txt").otherwise(".cs")).alias("name"))
+    return some.union(spark.createDataFrame([("1", "Brand#0", "C#")], some.schema)), documents
+
+
+@query(
+    "A16_solution_summary",
+    "SELECT solution, count(*) AS project_count, count(*) FILTER (language = 'C#') AS language_project_count, CAST(coalesce(sum(n) FILTER (language = 'C#'), 0) AS BIGINT) AS total_documents, coalesce(string_agg(project, ',' ORDER BY project) FILTER (language = 'C#'), '') AS project_names FROM pr LEFT JOIN (SELECT project, count(*) AS n FROM dc GROUP BY 1) USING (project) GROUP BY 1",
+    extra=_PROJECTS,
+)
+def _(spark, d):
+    return projects.summary(*_projects(spark, d)).withColumn("project_names", F.array_join("project_names", ","))
 
 
-@query("A17_validation", "SELECT project, concat_ws('; ', CASE WHEN count(*) < 70 THEN 'few types' END, CASE WHEN count(*) FILTER (is_static) > 5 THEN 'many static types' END) AS warnings FROM fx_nodes GROUP BY 1")
+@query(
+    "A17_validation",
+    """SELECT solution, count(*) FILTER (language = 'C#') > 0 AS is_valid, CASE WHEN count(*) FILTER (language = 'C#') > 0 THEN '' ELSE 'No C# projects found in solution' END AS errors, coalesce(string_agg(w, '; ' ORDER BY w), '') AS warnings FROM (
+SELECT solution, language, CASE WHEN language <> 'C#' THEN NULL WHEN project NOT IN (SELECT project FROM dc) THEN concat('Project ', chr(39), project, chr(39), ' contains no documents')
+  WHEN project NOT IN (SELECT project FROM dc WHERE ends_with(name, '.cs')) THEN concat('Project ', chr(39), project, chr(39), ' contains no C# files') END AS w FROM pr) GROUP BY 1""",
+    extra=_PROJECTS,
+)
 def _(spark, d):
-    n = fx.view(spark, d, "fx_nodes").groupBy("project").agg(F.count("*").alias("n"), F.count_if("is_static").alias("s"))
-    found = F.array_compact(F.array(F.when(F.col("n") < 70, "few types"), F.when(F.col("s") > 5, "many static types")))
-    return n.select("project", F.array_join(found, "; ").alias("warnings"))
+    return projects.validate(*_projects(spark, d)).withColumns({"errors": F.array_join("errors", "; "), "warnings": F.array_join("warnings", "; ")})
 
 
 @query(
@@ -504,7 +530,19 @@ def _(spark, d):
     return nested.index(_ast_documents(spark, d)).drop("usings")
 
 
-@query("A22_job_results", "SELECT worker_id, count(*) AS n, round(sum(duration_s), 4) AS seconds FROM fx_jobs GROUP BY 1")
+@query(
+    "A22_job_results",
+    """SELECT file_path, '[' || concat_ws(',', CASE WHEN has_ast THEN '"Ast"' END, CASE WHEN has_domain THEN '"DomainKeywords"' END) || ']' AS levels, CASE WHEN has_ast THEN 'true' END AS ast_success, CASE WHEN has_domain THEN '{}' END AS domain_content,
+CASE WHEN has_ast THEN 1.5 ELSE 0 END::DOUBLE + CASE WHEN has_domain THEN 0.25 ELSE 0 END::DOUBLE AS total_duration FROM fx_files""",
+)
+def _(spark, d):
+    timed = F.transform_values("level_data", lambda k, v: v.withField("duration_s", F.when(k == "Ast", 1.5).otherwise(0.25)))
+    out = pipeline.job_results(_store_entries(spark, d).withColumn("level_data", timed))
+    part = lambda path, name: F.get_json_object("result", path).alias(name)
+    return out.select("file_path", part("$.ProcessedLevels", "levels"), part("$.Results.Ast.Success", "ast_success"), part("$.Results.DomainKeywords.Content", "domain_content"), F.get_json_object("result", "$.TotalDuration").cast("double").alias("total_duration"))
+
+
+@query("A22_worker_load", "SELECT worker_id, count(*) AS n, round(sum(duration_s), 4) AS seconds FROM fx_jobs GROUP BY 1")
 def _(spark, d):
     return pipeline.worker_load(fx.view(spark, d, "fx_jobs")).select("worker_id", F.col("jobs").alias("n"), F.round("seconds", 4).alias("seconds"))
 
@@ -868,9 +906,25 @@ def _(spark, d):
     return _domain_docs(spark, d).select("file_path", nested.domain_error(F.col("content")).alias("error"))
 
 
-@query("N05_N06_ast_errors", "SELECT DISTINCT '/src/' || namespace AS file_path, CAST(NULL AS VARCHAR) AS error FROM fx_ast")
+_AST_FAULTS = [
+    ("replace(content, 'CompilationUnit', 'Unit')", "the root is no CompilationUnit"),
+    ("' '", "content is empty"),
+    ("concat(content, '}')", "content is no JSON"),
+    ("replace(content, '\"usings\":[]', '\"usings\":null')", "usings is null"),
+    ("replace(content, '\"Namespace\"', '\"Other\"')", "namespace is null"),
+    ("regexp_replace(content, '\"enums\":', '\"none\":')", "enums is null"),
+    ("regexp_replace(content, '\"interfaces\":.\\\\{\"name\":\"[^\"]+\"', '\"interfaces\":[{\"name\":\" \"')", "a interface without a name"),
+]
+
+
+@query(
+    "N05_N06_ast_errors",
+    "SELECT DISTINCT '/src/' || namespace AS file_path, fault, CASE fault " + " ".join(f"WHEN {i} THEN '{e}'" for i, (_, e) in enumerate(_AST_FAULTS)) + " END AS error FROM fx_ast, (SELECT unnest(range(8)) AS fault)",
+)
 def _(spark, d):
-    return _ast_documents(spark, d).select("file_path", nested.ast_error(F.col("content")).alias("error"))
+    made = F.array(*[F.struct(F.lit(i).cast("long").alias("fault"), F.expr(e).alias("content")) for i, (e, _) in enumerate([*_AST_FAULTS, ("content", None)])])
+    out = _ast_documents(spark, d).select("file_path", F.explode(made).alias("x")).select("file_path", "x.*")
+    return out.select("file_path", "fault", nested.ast_error(F.col("content")).alias("error"))
 
 
 @query("N07_valid_json", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN false ELSE json_valid(props) END AS ok FROM events")
@@ -888,22 +942,22 @@ def _(spark, d):
     "N10_messages",
     """SELECT run_id, step_number, 0 AS sub_position, 'user' AS role, concat('New task:', chr(10), content) AS content FROM fx_steps WHERE role = 'user' UNION ALL
 SELECT run_id, step_number, 0, 'assistant', content FROM fx_steps WHERE role <> 'user' UNION ALL
-SELECT run_id, step_number, 1, 'tool-response', concat('Call id: c', step_number, chr(10), left(content, 20)) FROM fx_steps WHERE role <> 'user' AND step_number % 2 = 1""",
+SELECT run_id, step_number, 1, 'tool-response', concat('Call id: c', step_number, chr(10), content) FROM fx_steps WHERE role <> 'user' AND step_number % 2 = 1""",
 )
 def _(spark, d):
     return runs.messages(fx.steps(spark, d))
 
 
-@query("N11_nested_substitution", None)
+@query("N11_nested_substitution", """SELECT event_id, '{"a": ["Riga", {"b": "' || CASE event_type WHEN 'click' THEN 'pressed' ELSE event_type END || '"}]}' AS arguments FROM events""")
 def _(spark, d):
-    j = F.concat(F.lit('{"a": ["user_city", {"b": "'), "event_type", F.lit('"}]}'))
-    return fx.view(spark, d, "events").select("event_id", runs.substitute_json(j, F.lit('{"user_city": "New York", "click": "pressed"}')).alias("arguments"))
+    j = F.concat(F.lit('{"a": ["cargo_port", {"b": "'), "event_type", F.lit('"}]}'))
+    return fx.view(spark, d, "events").select("event_id", runs.substitute_json(j, F.lit('{"cargo_port": "Riga", "click": "pressed"}')).alias("arguments"))
 
 
-@query("N12_references", "SELECT event_id, 'user_city,apiKey' AS refs, 'apiKey' AS missing FROM events")
+@query("N12_references", "SELECT event_id, 'cargo_port,two_words here,pierNumber' AS refs, 'two_words here,pierNumber' AS missing FROM events")
 def _(spark, d):
-    state = F.create_map(F.lit("user_city"), F.lit("x"))
-    j = F.concat(F.lit('{"a": ["user_city", {"b": "'), "event_type", F.lit('"}], "c": "apiKey"}'))
+    state = F.create_map(F.lit("cargo_port"), F.lit("x"))
+    j = F.concat(F.lit('{"a": ["cargo_port", {"b": "'), "event_type", F.lit('"}, "two_words here"], "c": "pierNumber"}'))
     e = fx.view(spark, d, "events").withColumn("j", j)
     return e.select("event_id", F.array_join(runs.references_json("j"), ",").alias("refs"), F.array_join(runs.missing_references(F.col("j"), state), ",").alias("missing"))
 
@@ -998,6 +1052,36 @@ def _(spark, d):
     return _dag(spark, d).dependency_levels
 
 
+CYCLIC_LEVELS = (
+    CLOSURE
+    + """,
+sc AS (SELECT a.x AS node, min(a.y) AS component FROM clo a JOIN clo b ON a.x = b.y AND a.y = b.x GROUP BY 1),
+kept AS (SELECT DISTINCT src, dst FROM fx_edges LEFT JOIN sc a ON a.node = src LEFT JOIN sc b ON b.node = dst WHERE src <> dst AND (a.component IS DISTINCT FROM b.component OR a.component IS NULL OR src > dst)),
+p AS (SELECT src, dst, 1 AS n FROM kept UNION SELECT p.src, q.dst, n + 1 FROM p JOIN kept q ON p.dst = q.src),
+lv AS (SELECT node_id, CAST(coalesce(max(n), 0) AS INTEGER) AS level FROM fx_nodes LEFT JOIN p ON src = node_id GROUP BY 1)"""
+)
+
+
+@query("G14_levels_of_cyclic", "SELECT node_id, level FROM lv", True, CYCLIC_LEVELS)
+def _(spark, d):
+    return g(spark, d).dependency_levels
+
+
+@query("G13_order_of_cyclic", "SELECT node_id, level, CAST(row_number() OVER (ORDER BY level DESC, node_id) - 1 AS INTEGER) AS processing_order FROM lv", True, CYCLIC_LEVELS)
+def _(spark, d):
+    return g(spark, d).topological_order()
+
+
+@query("G13_order_without_cycles", "SELECT node_id, level, CAST(row_number() OVER (ORDER BY level DESC, node_id) - 1 AS INTEGER) AS processing_order FROM lv WHERE node_id NOT IN (SELECT node_id FROM cyc)", True, CYCLIC_LEVELS)
+def _(spark, d):
+    return g(spark, d).topological_order(on_cycle="ignore")
+
+
+@query("G15_plan_of_cyclic", "SELECT node_id, level, fan_in, fan_out, c.node_id IS NOT NULL AS is_cyclic FROM lv JOIN d USING (node_id) LEFT JOIN cyc c USING (node_id)", True, CYCLIC_LEVELS + ",\n" + DEGREES)
+def _(spark, d):
+    return g(spark, d).processing_plan().drop("can_parallel")
+
+
 @query("G15_processing_plan", "SELECT node_id, level, (SELECT count(*) FROM fx_dag WHERE dst = node_id) AS fan_in, (SELECT count(*) FROM fx_dag WHERE src = node_id) AS fan_out, false AS is_cyclic FROM lv", True, LEVELS)
 def _(spark, d):
     return _dag(spark, d).processing_plan().drop("can_parallel")
@@ -1043,17 +1127,20 @@ def _(spark, d):
     return fx.view(spark, d, "documents").select("doc_id", text.strip_front_matter(F.regexp_replace(raw, "\n", " ")).alias("body"))
 
 
-@query("S12_point_lookup", "SELECT doc_id, file_path FROM fx_files WHERE file_path = '/data/en/src0/42.md' OR doc_id = 42")
+@query("S12_point_lookup", "SELECT file_path, status FROM fx_files WHERE doc_id = 42")
 def _(spark, d):
-    f = fx.entries(spark, d).withColumn("path_key", text.path_key(F.col("file_path")))
-    wanted = f.filter("doc_id = 42").select("path_key")
-    return f.join(wanted, "path_key", "left_semi").select("doc_id", "file_path")
+    kept = store.FileStore(spark, iterate.shared_path(spark, "store"))
+    kept.upsert(_store_entries(spark, d))
+    path = fx.view(spark, d, "fx_files").filter("doc_id = 42").first()
+    return kept.get(path.file_path if path else "").select("file_path", "status")
 
 
-@query("S13_delete_by_key", "SELECT doc_id FROM fx_files WHERE doc_id % 10 <> 3")
+@query("S13_delete_by_key", "SELECT file_path FROM fx_files WHERE doc_id NOT IN (3, 13)")
 def _(spark, d):
-    f = fx.entries(spark, d)
-    return f.join(f.filter("doc_id % 10 = 3").select("file_path"), "file_path", "left_anti").select("doc_id")
+    kept = store.FileStore(spark, iterate.shared_path(spark, "store"))
+    kept.upsert(_store_entries(spark, d))
+    kept.invalidate([r.file_path for r in fx.view(spark, d, "fx_files").filter("doc_id in (3, 13)").select("file_path").collect()])
+    return kept.read().select("file_path")
 
 
 @query(
@@ -1088,14 +1175,22 @@ def _(spark, d):
     return pipeline.stale(fx.view(spark, d, "fx_jobs"), "2024-02-01 00:00:00", 600).select("job_id")
 
 
-@query("T08_ageing", "SELECT doc_id FROM fx_files WHERE doc_id >= 200")
+@query("T08_ageing", "SELECT file_path FROM fx_files WHERE doc_id >= 100")
 def _(spark, d):
-    return fx.entries(spark, d).filter(F.col("processed_at") >= F.timestamp_seconds(F.lit(1_700_000_000 + 200 * 60))).select("doc_id")
+    kept = store.FileStore(spark, iterate.shared_path(spark, "store"))
+    kept.upsert(_store_entries(spark, d))
+    kept.expire(dt.datetime.fromtimestamp(1_700_000_000 + 100 * 60, dt.timezone.utc))
+    return kept.read().select("file_path")
 
 
 @query("T12_distinct_paths", "SELECT DISTINCT worker_id AS file_path FROM fx_jobs")
 def _(spark, d):
-    return fx.view(spark, d, "fx_jobs").select(F.col("worker_id").alias("file_path")).dropDuplicates(["file_path"])
+    found, into = fx.view(spark, d, "fx_jobs").select(F.col("worker_id").cast("string").alias("file_path"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("last_modified")), iterate.shared_path(spark, "stream")
+    found.repartition(3).write.parquet(f"{into}/in")
+    stream = pipeline.distinct_paths(spark.readStream.schema(found.schema).option("maxFilesPerTrigger", 1).parquet(f"{into}/in"))
+    run = stream.writeStream.format("parquet").option("path", f"{into}/out").option("checkpointLocation", f"{into}/check").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(f"{into}/out").select(F.col("file_path").cast("long").alias("file_path"))
 
 
 @query("T14_deltas", "SELECT run_id, string_agg(role, ' ' ORDER BY step_number) AS body FROM fx_steps GROUP BY 1")
@@ -1163,32 +1258,55 @@ def _(spark, d):
     return cache.lookup(asked, "2024-01-10").select("run_id", "response")
 
 
-def _some_ast(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t == "0" else '{"type": "CompilationUnit", "namespace": "n", "usings": [], "classes": [], "interfaces": [], "enums": [], "records": [], "structs": []}')
+def _found_files(spark, d):
+    """fx_files as a scan finds them."""
+    f = fx.view(spark, d, "fx_files").withColumns({"last_modified": F.lit(None).cast("timestamp"), "file_hash": text.content_hash(F.col("content"))})
+    return f.select("file_path", "file_hash", F.col("file_size").cast("long").alias("file_size"), "last_modified", "content")
+
+
+@query("T04_levels", "SELECT file_path, CASE WHEN contains(content, '!') THEN 'Failed' ELSE 'Completed' END AS status, CASE WHEN contains(content, '!') THEN 1 ELSE 2 END AS n_levels FROM fx_files")
+def _(spark, d):
+    empty = store.FileStore(spark, iterate.shared_path(spark, "store"))
+    return pipeline.process(_found_files(spark, d), empty, {"Ast": _plain_ast, "DomainKeywords": _plain_domains}, "2024-01-01 00:00:00").select("file_path", "status", F.size("level_data").alias("n_levels"))
+
+
+def _plain_ast(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if "!" in t else json.dumps({"type": "CompilationUnit", "namespace": t[:1], "usings": [], "classes": [], "interfaces": [], "enums": [], "records": [], "structs": []}))
 
 
-def _some_domains(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: '{"domains": [{"name": "d' + t + '", "reasoning": "r"}]}')
+def _plain_domains(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: json.dumps({"domains": [{"name": f"{len(t)} characters", "reasoning": "its length"}]}))
 
 
-@query("T04_levels", "SELECT file_path, CASE WHEN doc_id % 3 = 0 THEN 'Failed' ELSE 'Completed' END AS status, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS n_levels FROM fx_files")
+@query("T01_T03_stream", "SELECT file_path, CASE WHEN contains(content, '!') THEN 'Failed' ELSE 'Completed' END AS status, CASE WHEN contains(content, '!') THEN NULL ELSE length(content) || ' characters' END AS domain FROM fx_files")
 def _(spark, d):
-    f = fx.view(spark, d, "fx_files").withColumns({"last_modified": F.lit(None).cast("timestamp"), "file_hash": F.sha2("content", 256), "content": (F.col("doc_id") % 3).cast("string")})
-    empty = store.FileStore(spark, iterate.shared_path(spark, "store"))
-    return pipeline.process(f, empty, {"Ast": _some_ast, "DomainKeywords": _some_domains}, "2024-01-01 00:00:00").select("file_path", "status", F.size("level_data").alias("n_levels"))
+    f, into = _found_files(spark, d), iterate.shared_path(spark, "stream")
+    f.repartition(4, "file_path").write.parquet(f"{into}/in")
+    stream = spark.readStream.schema(f.schema).option("maxFilesPerTrigger", 2).parquet(f"{into}/in")
+    kept = store.FileStore(spark, f"{into}/store")
+    pipeline.start(stream, kept, {"Ast": _plain_ast, "DomainKeywords": _plain_domains}, f"{into}/check").awaitTermination()
+    return kept.read().select("file_path", "status", F.get_json_object(F.col("level_data")["DomainKeywords"]["content"], "$.domains[0].name").alias("domain"))
 
 
-@query("T01_T03_stream", "SELECT status, count(*) AS n, count(DISTINCT worker_id) AS n_workers FROM fx_jobs GROUP BY 1")
+@query(
+    "F30_R22_observations",
+    """SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'Tool executed successfully but returned no result.' WHEN 1 THEN 'Tool executed but returned empty string.' WHEN 2 THEN event_type
+WHEN 3 THEN 'kinds: [a, ' || event_type || ']' || chr(10) || 'n: 3' || chr(10) || 'ok: True' WHEN 4 THEN 'user:' || chr(10) || '  id: ' || user_id || chr(10) || '  name: x y' ELSE '[' || chr(10) || '  1,' || chr(10) || '  2' || chr(10) || ']' END AS observation FROM events""",
+)
 def _(spark, d):
-    jobs, into = fx.view(spark, d, "fx_jobs").select("job_id", "worker_id", "status"), iterate.shared_path(spark, "stream")
-    jobs.repartition(6, "job_id").write.parquet(f"{into}/in")
-    stream = spark.readStream.schema(jobs.schema).option("maxFilesPerTrigger", 2).parquet(f"{into}/in")
-    run = stream.writeStream.format("parquet").option("path", f"{into}/out").option("checkpointLocation", f"{into}/check").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.parquet(f"{into}/out").groupBy("status").agg(F.count("*").alias("n"), F.count_distinct("worker_id").alias("n_workers"))
+    i, t = F.col("event_id") % 6, F.col("event_type")
+    output = F.when(i == 1, '" "').when(i == 2, t).when(i == 3, F.concat(F.lit('{"kinds": ["a", "'), t, F.lit('"], "n": 3, "ok": true}')))
+    output = output.when(i == 4, F.concat(F.lit('{"user": {"id": '), F.col("user_id").cast("string"), F.lit(', "name": "x y"}}'))).when(i == 5, "[1, 2]")
+    return fx.view(spark, d, "events").select("event_id", runs.observation(output, F.lit("tool")).alias("observation"))
 
 
-@query("F30_R22_observations", """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 3 = 1 THEN event_type ELSE concat('{"k":"', event_type, '"}') END AS observation FROM events""")
+@query(
+    "R21_argument_mapping",
+    """SELECT event_id, CASE event_id % 7 WHEN 0 THEN '{}' WHEN 1 THEN '{"a": 1}' WHEN 2 THEN '{"text":"' || event_type || '"}' WHEN 3 THEN '{}' WHEN 4 THEN '{"query":[1]}' WHEN 5 THEN '{"input":7}' ELSE '{}' END AS arguments FROM events""",
+)
 def _(spark, d):
-    i, t = F.col("event_id") % 3, F.col("event_type")
-    return fx.view(spark, d, "events").select("event_id", F.when(i == 0, F.lit("")).when(i == 1, t).otherwise(F.to_json(F.create_map(F.lit("k"), t))).alias("observation"))
+    i, none = F.col("event_id") % 7, F.expr("cast(array() as array<string>)")
+    value = F.when(i == 1, '{"a": 1}').when(i.isin(2, 3), F.concat(F.lit('"'), "event_type", F.lit('"'))).when(i == 4, "[1]").when(i.isin(5, 6), "7")
+    inputs = F.when(i == 2, F.array(F.lit("text"))).when(i == 3, none).when(i == 4, F.array(F.lit("x"), F.lit("y")))
+    tool = F.when(i == 4, "search").when(i != 6, "other")
+    return fx.view(spark, d, "events").select("event_id", runs.map_arguments(value, inputs, tool).alias("arguments"))
\ No newline at end of file

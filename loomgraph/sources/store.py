@@ -9,9 +9,9 @@ from ..functions.text import path_key
 from ..schemas import FILE_ENTRIES
 
 
-def latest(entries: DataFrame, key: str = "path_key", time: str = "processed_at") -> DataFrame:
-    """The newest entry of each key."""
-    w = Window.partitionBy(key).orderBy(F.desc(time))
+def latest(entries: DataFrame, key: str = "path_key", time: str = "processed_at", *ties: str) -> DataFrame:
+    """The newest entry of each key; of equally new ones that with the largest of further columns."""
+    w = Window.partitionBy(key).orderBy(F.desc(time), *map(F.desc, ties))
     return entries.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
@@ -74,7 +74,7 @@ class FileStore:
     def upsert(self, entries: DataFrame) -> None:
         """Adds entries; of entries of one path the newest stays."""
         keyed = entries.withColumn("path_key", path_key(F.col("file_path")))
-        self._write(latest(self.read().unionByName(keyed.select(*self.read().columns))))
+        self._write(latest(self.read().unionByName(keyed.select(*self.read().columns)), "path_key", "processed_at", "file_hash", "status"))
 
     def get(self, file_path: str) -> DataFrame:
         return self.read().filter(F.col("path_key") == F.sha2(F.lit(file_path), 256))
@@ -126,7 +126,7 @@ class ResponseCache:
 
     def lookup(self, requests: DataFrame, now) -> DataFrame:
         """The requests with the newest response that is still valid, null where there is none."""
-        fresh = latest(self.read(now), "request_key", "created_at").select("request_key", "response")
+        fresh = latest(self.read(now), "request_key", "created_at", "response").select("request_key", "response")
         return requests.join(fresh, "request_key", "left")
 
     def statistics(self, now) -> DataFrame:

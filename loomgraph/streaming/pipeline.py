@@ -56,6 +56,14 @@ def process(files: DataFrame, store: FileStore, extractors: dict[str, Extractor]
     )
 
 
+def job_results(entries: DataFrame) -> DataFrame:
+    """file_path and result: one JSON text of an entry's levels, their results, and their seconds together."""
+    one = F.transform_values("level_data", lambda _, v: F.struct(v["is_success"].alias("Success"), v["content"].alias("Content"), v["duration_s"].alias("ProcessingDuration"), v["processed_at"].alias("ProcessedAt")))
+    seconds = F.aggregate(F.map_values("level_data"), F.lit(0.0), lambda a, v: a + F.coalesce(v["duration_s"], F.lit(0.0)))
+    body = F.struct(F.col("file_path").alias("FilePath"), F.map_keys("level_data").alias("ProcessedLevels"), one.alias("Results"), seconds.alias("TotalDuration"))
+    return entries.select("file_path", F.to_json(body, {"pretty": "true"}).alias("result"))
+
+
 def start(stream: DataFrame, store: FileStore, extractors: dict[str, Extractor], checkpoint: str, once: bool = True) -> StreamingQuery:
     """Processes each micro-batch of a stream of files and merges it into the store."""
 

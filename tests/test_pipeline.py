@@ -128,10 +128,15 @@ def test_messages(spark):
 
 
 def test_nested_state():
-    state = {"user_name": "John Doe", "user_age": 30, "user_hobbies": ["reading"]}
-    value = {"a": "user_name", "b": ["user_age", "plain", {"c": "user_hobbies"}]}
-    assert runs.substituted(value, state) == {"a": "John Doe", "b": [30, "plain", {"c": ["reading"]}]}
-    assert runs.references({"a": "user_name", "b": ["apiKey", "plain words", "x"]}) == ["user_name", "apiKey"]
+    state = {"cargo_port": "Riga", "pier": 4, "pier_boats": ["Alma"]}
+    value = {"a": "cargo_port", "b": ["pier", "plain", {"c": "pier_boats"}]}
+    assert runs.substituted(value, state) == {"a": "Riga", "b": [4, "plain", {"c": ["Alma"]}]}
+    assert runs.references({"a": "cargo_port", "b": ["pierNumber", "plain words", "x", "two_words here"]}) == ["cargo_port", "pierNumber", "two_words here"]
+
+
+def test_observations():
+    assert runs.observed({}, "t") == "{}" and runs.observed([], "t") == "[]" and runs.observed(3, "t") == "3"
+    assert runs.observed({"a": {}, "b": None, "c": [1, "x"]}, "t") == 'a:\nb: \nc: [1, "x"]'
 
 
 def test_json_types(spark):
