@@ -41,7 +41,7 @@ FREQUENT, FILTER_BITS = 8, 1 << 26
 BUCKET_DOCS, EARLY_KEYS, MIDDLE, LEAF, BLOCK = 8192, 4, 4, 16, 2048
 #: Documents with a shingle from which on its postings are dealt to several tasks, of so many postings each about.
 HOT_POSTINGS = 200_000
-#: Members of a component, and classes beside it, that meet in one task.
+#: Members of a component, and classes beside it, that meet in one task; classes of a cell that look for their closest in one.
 MEETING = 512
 # odd multipliers, one for each word of a shingle
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -297,13 +297,13 @@ def cells(posted: DataFrame, buckets: int) -> DataFrame:
 def closest(members: DataFrame, stored: Stored) -> DataFrame:
     """Pairs (a, b) of each class and the class closest to it, by points, among the middle ones of its cells: one row per class at most.
 
-    The middle of a cell is where the mean of its points lies. Where classes are copies of one, that one is near it. Cells beyond BLOCK classes
+    The middle of a cell is where the mean of its points lies. Where classes are copies of one, that one is near it. Cells beyond MEETING classes
     are cut into blocks by hash, and the middle classes of the blocks are compared in turn.
     """
     level, n = members.select("cell", "rep", "n", "point"), 0
     found = None
     while True:
-        sizes = level.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+        sizes = level.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(MEETING)).cast("int").alias("blocks"))
         dealt = level.join(stored.put(sizes, "closest-sizes"), "cell").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(n)), F.col("blocks")))
         step = stored.put(dealt.groupBy("cell", "block").applyInArrow(_closest, "a long, b long, near double, cell long, rep long, n long, point binary"), "closest")
         pairs = step.filter("a is not null").select("a", "b", "near")
