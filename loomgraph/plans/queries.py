@@ -39,6 +39,14 @@ def _case(column: str, table: dict, default) -> str:
     return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in table.items()) + f" ELSE {default} END"
 
 
+# fixed values, stated here again so that the SQL does not take them from the engine
+_WEIGHTS = {"Inheritance": 10, "Interface": 9, "Constructor": 8, "Field": 7, "Property": 6, "ReturnType": 5, "NewExpression": 5, "Method": 4, "GenericArgument": 4, "Delegate": 4, "MethodCall": 4, "Parameter": 3, "Event": 3, "StaticReference": 3, "FieldAccess": 3, "PropertyAccess": 3, "LocalVariable": 2, "LocalVariableType": 2}
+_ENHANCED = {"Inheritance": 10, "Interface": 9, "Constructor": 8, "Field": 7, "Property": 6, "ReturnType": 5, "Method": 4, "GenericArgument": 4, "Parameter": 3, "Event": 3, "LocalVariable": 2}
+_CHANGES = {"DomainCore": 0.1, "Infrastructure": 0.3, "ApplicationService": 0.2, "Testing": 0.5, "Configuration": 0.4}
+# structural, semantic, coupling, stability, criticality, testability
+_DIMENSIONS = {"Default": (0.25, 0.2, 0.2, 0.15, 0.1, 0.1), "MicroservicesBoundary": (0.3, 0.2, 0.3, 0.1, 0.05, 0.05), "DomainCore": (0.2, 0.4, 0.1, 0.2, 0.05, 0.05), "Infrastructure": (0.4, 0.1, 0.2, 0.3, 0.0, 0.0), "ApplicationService": (0.2, 0.3, 0.2, 0.1, 0.1, 0.1), "Testing": (0.1, 0.1, 0.1, 0.1, 0.1, 0.5)}
+
+
 KINDS = "e AS (SELECT *, [" + ", ".join(f"'{k}'" for k in DEPENDENCY_TYPES) + "][dep_ord + 1] AS dep_type FROM fx_edges)"
 DEGREES = """d AS (SELECT node_id, coalesce(i, 0) AS fan_in, coalesce(o, 0) AS fan_out FROM fx_nodes LEFT JOIN (SELECT dst AS node_id, count(*) AS i FROM fx_edges GROUP BY 1) USING (node_id)
   LEFT JOIN (SELECT src AS node_id, count(*) AS o FROM fx_edges GROUP BY 1) USING (node_id)),
@@ -77,14 +85,14 @@ STRENGTH = (
     + f""",
 fs AS (SELECT node_id, min(edge_seq) AS first_seen, sum(i) AS ca, sum(o) AS ce FROM (SELECT src AS node_id, edge_seq, 0 AS i, 1 AS o FROM fx_edges UNION ALL SELECT dst, edge_seq, 1, 0 FROM fx_edges) GROUP BY 1),
 ctx AS (SELECT n.*, {TYPE_PATTERN} AS pattern, {LAYER} AS layer, first_seen, coalesce(ca, 0) AS ca, coalesce(ce, 0) AS ce, c.node_id IS NOT NULL AS cyclic FROM fx_nodes n LEFT JOIN fs USING (node_id) LEFT JOIN cyc c USING (node_id)),
-cf AS (SELECT *, CAST({_case("pattern", literals.CHANGE_FREQUENCY, 0.2)} AS DOUBLE) AS freq FROM ctx),
+cf AS (SELECT *, CAST({_case("pattern", _CHANGES, 0.2)} AS DOUBLE) AS freq FROM ctx),
 j AS (SELECT e.*, {_PATTERN} AS edge_pattern, s.namespace AS sns, t.namespace AS tns, t.kind AS tkind, t.is_abstract AS tab, t.is_sealed AS tse, t.is_static AS tst, s.ce AS sce, t.ca AS tca, t.ce AS tce,
     s.cyclic OR t.cyclic AS cyclic, s.freq AS sfreq, t.freq AS tfreq,
     CASE WHEN s.first_seen < edge_seq THEN s.pattern ELSE 'Unknown' END AS sp, CASE WHEN t.first_seen < edge_seq THEN t.pattern ELSE 'Unknown' END AS tp,
     CASE WHEN s.first_seen < edge_seq THEN s.layer ELSE 'Unknown' END || '>' || CASE WHEN t.first_seen < edge_seq THEN t.layer ELSE 'Unknown' END AS ly
   FROM e JOIN cf s ON s.node_id = src JOIN cf t ON t.node_id = dst),
-k AS (SELECT *, CAST({_case("dep_type", literals.WEIGHTS, 1)} AS INTEGER) AS weight,
-  least(1.0, ({_case("dep_type", literals.ENHANCED_WEIGHTS, 1)}) / 10.0::DOUBLE * CASE WHEN tp = 'DomainCore' THEN 1.3 WHEN sp = 'DomainCore' THEN 1.2 WHEN tp = 'Infrastructure' THEN 0.8 ELSE 1 END::DOUBLE
+k AS (SELECT *, CAST({_case("dep_type", _WEIGHTS, 1)} AS INTEGER) AS weight,
+  least(1.0, ({_case("dep_type", _ENHANCED, 1)}) / 10.0::DOUBLE * CASE WHEN tp = 'DomainCore' THEN 1.3 WHEN sp = 'DomainCore' THEN 1.2 WHEN tp = 'Infrastructure' THEN 0.8 ELSE 1 END::DOUBLE
     * ({_case("tp", {"Factory": 1.2, "Repository": 1.3, "Strategy": 1.1, "Singleton": 0.7}, 1.0)})::DOUBLE
     * CASE WHEN ly IN ('Presentation>Application', 'Application>Domain', 'Infrastructure>Domain') THEN 1.2 WHEN ly IN ('Domain>Application', 'Domain>Presentation', 'Application>Presentation') THEN 0.6 ELSE 1 END::DOUBLE
     * CASE ly WHEN 'Domain>Presentation' THEN 0.5 WHEN 'Domain>Application' THEN 0.7 ELSE 1 END::DOUBLE + CASE dep_type WHEN 'Interface' THEN 0.2 WHEN 'Constructor' THEN 0.15 ELSE 0 END::DOUBLE) AS structural,
@@ -98,7 +106,7 @@ k AS (SELECT *, CAST({_case("dep_type", literals.WEIGHTS, 1)} AS INTEGER) AS wei
   (CASE WHEN tkind = 'Interface' THEN 0.9 WHEN tab THEN 0.8 WHEN tse THEN 0.2 ELSE 0.5 END::DOUBLE + (1 - least(1.0, (tca + tce) / 10.0::DOUBLE)) + (1 - CASE WHEN tst THEN 0.8 WHEN dep_type = 'StaticReference' THEN 0.9 ELSE 0.3 END::DOUBLE)) / 3 AS testability
   FROM j),
 m AS (SELECT *, """
-    + " + ".join(f"{d} * ({_case('edge_pattern', {p: w[i] for p, w in literals.DIMENSION_WEIGHTS.items() if p != 'Default'}, literals.DIMENSION_WEIGHTS['Default'][i])})::DOUBLE" for i, d in enumerate(DIMENSIONS))
+    + " + ".join(f"{d} * ({_case('edge_pattern', {p: w[i] for p, w in _DIMENSIONS.items() if p != 'Default'}, _DIMENSIONS['Default'][i])})::DOUBLE" for i, d in enumerate(DIMENSIONS))
     + """ AS composite FROM k),
 st AS (SELECT *, CASE WHEN structural > 0.8 AND semantic > 0.8 THEN 'HighQualityCore' WHEN coupling > 0.8 AND stability < 0.4 THEN 'HighRiskCoupling' WHEN testability < 0.3 THEN 'TestingChallenge'
     WHEN criticality > 0.8 THEN 'BusinessCritical' WHEN structural < 0.3 AND semantic < 0.3 THEN 'WeakConnection' ELSE 'Balanced' END AS profile,
@@ -279,7 +287,7 @@ def _(spark, d):
     return out.select("edge_seq", F.col("s_seen_pattern").alias("s_pattern"), F.col("t_seen_pattern").alias("t_pattern"), F.col("t_ca").cast("decimal(38,0)").alias("t_ca"), F.col("s_ce").cast("decimal(38,0)").alias("s_ce"))
 
 
-@query("J04_weights", f"SELECT edge_seq, dep_type, CAST({_case('dep_type', literals.WEIGHTS, 1)} AS INTEGER) AS weight FROM e", extra=KINDS)
+@query("J04_weights", f"SELECT edge_seq, dep_type, CAST({_case('dep_type', _WEIGHTS, 1)} AS INTEGER) AS weight FROM e", extra=KINDS)
 def _(spark, d):
     return fx.edges(spark, d).select("edge_seq", "dep_type", literals.weight(F.col("dep_type")).alias("weight"))
 
@@ -405,7 +413,7 @@ _TRADE_KINDS = KINDS.replace("fx_edges", "fx_trade")
 @query(
     "A07_pair_strength_trade",
     f"""SELECT src, dst, count(*) AS n, round(least(1.0, least(1.0, sum(w) / max(w)::DOUBLE / 10) + least(0.3, count(*) * 0.05::DOUBLE) + least(0.2, count(DISTINCT dep_type) * 0.03::DOUBLE)), 6) AS strength
-FROM (SELECT *, {_case("dep_type", literals.WEIGHTS, 1)} AS w FROM e) GROUP BY ALL""",
+FROM (SELECT *, {_case("dep_type", _WEIGHTS, 1)} AS w FROM e) GROUP BY ALL""",
     extra=_TRADE_KINDS,
 )
 def _(spark, d):
@@ -721,7 +729,7 @@ def _(spark, d):
 # scalar functions
 
 
-@query("F01_F03_weights", f"SELECT edge_seq, CAST({_case('dep_type', literals.WEIGHTS, 1)} AS INTEGER) AS weight, CAST({_case('dep_type', literals.ENHANCED_WEIGHTS, 1)} AS INTEGER) AS enhanced, round(least(1.0, ({_case('dep_type', literals.WEIGHTS, 1)}) / 10.0::DOUBLE + CASE WHEN dep_type = 'Constructor' THEN 0.2 WHEN dep_type IN ('Property', 'Field') THEN 0.1 WHEN dep_type IN ('Inheritance', 'Interface') THEN 0.3 ELSE 0 END), 6)::DOUBLE AS base_strength FROM e", extra=KINDS)
+@query("F01_F03_weights", f"SELECT edge_seq, CAST({_case('dep_type', _WEIGHTS, 1)} AS INTEGER) AS weight, CAST({_case('dep_type', _ENHANCED, 1)} AS INTEGER) AS enhanced, round(least(1.0, ({_case('dep_type', _WEIGHTS, 1)}) / 10.0::DOUBLE + CASE WHEN dep_type = 'Constructor' THEN 0.2 WHEN dep_type IN ('Property', 'Field') THEN 0.1 WHEN dep_type IN ('Inheritance', 'Interface') THEN 0.3 ELSE 0 END), 6)::DOUBLE AS base_strength FROM e", extra=KINDS)
 def _(spark, d):
     k = F.col("dep_type")
     return fx.edges(spark, d).select("edge_seq", literals.weight(k).alias("weight"), literals.lookup(literals.ENHANCED_WEIGHTS, k, 1).alias("enhanced"), r6(literals.base_strength(k)).alias("base_strength"))
