@@ -269,6 +269,16 @@ def test_recall_at_the_threshold(spark, stored):
     assert got >= 0.9 * 3000
 
 
+def test_long_lists_lose_no_candidate(spark, stored):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(40, 24))
+    x = np.concatenate([x + rng.normal(size=x.shape) * 0.12 for _ in range(12)])
+    rows = vectors(spark, [(i, v.tolist(), i % 2) for i, v in enumerate(x)])
+    whole, split, cut = (sorted(near_vectors.near_duplicates(rows, stored, block=block).collect()) for block in (2048, 40, 3))
+    assert whole == split == cut
+    assert sum(r.n_links for r in whole) > 1000
+
+
 def test_components(spark, stored):
     import random
 
