@@ -41,7 +41,7 @@ def _pivots(classes: DataFrame, dim: int, n: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def links(classes: DataFrame, least: float, prefix: int = PREFIX, shared: int = SHARED, block: int = BLOCK) -> DataFrame:
+def links(classes: DataFrame, least: float, stored: Stored, prefix: int = PREFIX, shared: int = SHARED, block: int = BLOCK) -> DataFrame:
     """For classes (rep, label, embedding, copies): rows of rep, n (copies of classes linked with it, counted in one block) and root."""
     spark = classes.sparkSession
     sizes = {r.dim: r["count"] for r in classes.groupBy(F.size("embedding").alias("dim")).count().collect()}
@@ -61,17 +61,21 @@ def links(classes: DataFrame, least: float, prefix: int = PREFIX, shared: int =
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(near, pa.list_(pa.int32()))], ["rep", "label", "embedding", "copies", "near"])
 
     described = classes.select("rep", "label", "embedding", "copies").mapInArrow(describe, "rep long, label long, embedding array<double>, copies long, near array<int>")
+    described = stored.put(described, "described")
     # the least of a pair's shared pivots has shared - 1 greater ones in both prefixes
     least_shared = F.slice(F.array_sort("near"), F.lit(1), F.greatest(F.size("near") - F.lit(shared - 1), F.lit(0)))
     posted = described.withColumn("dim", F.size("embedding")).withColumn("pivot", F.explode(least_shared))
     key = ["label", "dim", "pivot"]
+    # long lists are stored, so that Spark knows their size when it plans the joins: vectors are shuffled for these only where they are many
     if shared > 1:
         long = posted.groupBy(*key).count().filter(F.col("count") > block).select(*key, F.lit(True).alias("long"))
+        long = stored.put(long, "long-lists")
         posted = posted.join(long, key, "left").withColumn("second", F.explode(F.expr("if(long, filter(near, x -> x > pivot), array(-1))")))
     else:
         posted = posted.withColumn("second", F.lit(-1))
     key = [*key, "second"]
     long = posted.groupBy(*key).count().filter(F.col("count") > block).select(*key, F.ceil(F.col("count") / F.lit(block)).cast("int").alias("blocks"))
+    long = stored.put(long, "long-sublists")
     posted = posted.join(long, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     mine = F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int")
     posted = posted.withColumn("mine", mine).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
@@ -117,7 +121,8 @@ def near_duplicates(df: DataFrame, stored: Stored, least: float = 0.93, **index)
     digest = {f"key{i}": F.xxhash64(F.lit(i), "label", "embedding") for i in (1, 2)}
     good = rows.filter(usable()).withColumns(digest)
     classes = stored.put(good.groupBy("key1", "key2", "label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    found = stored.put(links(classes, least, **index), "links")
+    found = stored.put(links(classes, least, stored, **index), "links")
+    stored.drop("described", "long-lists", "long-sublists")
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     parts = components(found.select("rep", "root"), stored)
     each = classes.join(counts, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left")
