@@ -35,10 +35,12 @@ def _contract(edges: DataFrame) -> DataFrame:
 
     def run(batches):
         pairs: list[tuple[int, int]] = []
+        most = 500_000
         for batch in batches:
             pairs += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            if len(pairs) > 500_000:
+            if len(pairs) > most:
                 pairs = [(x, r) for x, r in union(pairs).items() if x != r]
+                most = max(most, 2 * len(pairs))
         stars = [(x, r) for x, r in union(pairs).items() if x != r]
         yield pa.RecordBatch.from_arrays([pa.array([s[i] for s in stars], pa.int64()) for i in (0, 1)], ["u", "v"])
 

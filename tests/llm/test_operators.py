@@ -269,6 +269,12 @@ def test_recall_at_the_threshold(spark, stored):
     assert got >= 0.9 * 3000
 
 
+def test_contraction_of_many_edges(spark):
+    chain = spark.range(0, 1_200_000, 1, 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = components._contract(chain).agg(F.count("*"), F.countDistinct("u"), F.max("v")).first()
+    assert tuple(got) == (1_200_000, 1_200_000, 0)
+
+
 def test_long_lists_lose_no_candidate(spark, stored):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(40, 24))
