@@ -213,3 +213,13 @@ def strength_display(composite: Column, dimensions: dict[str, Column], profile:
     """Composite: … | Structural: … | … | Profile: …, for the dimensions in their order."""
     parts = [F.concat(F.lit(f"{k.capitalize()}: "), _f2(c)) for k, c in {"composite": composite, **dimensions}.items()]
     return F.concat_ws(" | ", *parts, F.concat(F.lit("Profile: "), profile))
+
+
+def documentation(leading: Column) -> Column:
+    """The first documentation comment of what stands before a declaration: a run of lines that begin with three slashes, or a block that begins with two stars.
+
+    Without the slashes, or the block's marks, and the space about each line; null if there is none.
+    """
+    block = F.regexp_extract(F.regexp_replace(leading, r"\r\n?", "\n"), r"(?s)(?m)(^[ \t]*///(?!/)[^\n]*(?:\n[ \t]*///(?!/)[^\n]*)*|/\*\*(?![*/]).*?\*/)", 1)
+    bare = F.regexp_replace(F.regexp_replace(block, r"^/\*\*|\*/$", ""), r"(?m)^[ \t]*(?:///|\*)?[ \t]*|[ \t]+$", "")
+    return F.when(block != "", F.trim(F.regexp_replace(bare, r"^\n+|\n+$", "")))

@@ -40,8 +40,8 @@ def canonical(texts: pd.Series) -> pd.Series:
 
 
 def is_json(text: Column) -> Column:
-    """Whether a text is one JSON value."""
-    return F.try_parse_json(text).isNotNull()
+    """Whether a text is one JSON value, and no more: the parser stops after the first, so the text must be whole as an array's item and as a field."""
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"":'), text, F.lit("}"))).isNotNull()
 
 
 def parsed_ast(content: Column, tolerant: bool = True) -> Column:
@@ -168,3 +168,14 @@ def index(documents: DataFrame) -> DataFrame:
     counts = [F.coalesce(F.when(d[a].isNotNull(), F.size(d[a])), F.lit(0)).alias(f"n_{a}") for a in AST_ARRAYS]
     parsed = documents.select("file_path", parsed_ast(F.col("content")).alias("d"))
     return parsed.select("file_path", F.coalesce(d["namespace"], F.lit("")).alias("namespace"), F.coalesce(d["usings"], F.expr("cast(array() as array<string>)")).alias("usings"), *counts)
+
+
+def query_index(indexed: DataFrame, filters: dict) -> DataFrame:
+    """Rows of index() whose fields equal the filters' values; texts compare in any case, and a list of usings holds the value. An unknown field is an error."""
+
+    def test(name, value):
+        if name == "usings":
+            return F.array_contains(name, value)
+        return F.lower(name) == value.lower() if isinstance(value, str) else F.col(name) == F.lit(value)
+
+    return _all(indexed, [test(n, v) for n, v in filters.items()])

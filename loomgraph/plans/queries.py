@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, coercion, literals, text
 from ..functions.strength import DIMENSIONS
-from ..operators import metrics, nested, projects, runs
+from ..operators import metrics, nested, projects, requests, runs
 from ..operators.graph import is_system
 from ..operators.hierarchy import KnowledgeGraph
 from ..schemas import DEPENDENCY_TYPES, PROFILES
@@ -1317,4 +1317,154 @@ def _(spark, d):
     value = F.when(i == 1, '{"a": 1}').when(i.isin(2, 3), F.concat(F.lit('"'), "event_type", F.lit('"'))).when(i == 4, "[1]").when(i.isin(5, 6), "7")
     inputs = F.when(i == 2, F.array(F.lit("text"))).when(i == 3, none).when(i == 4, F.array(F.lit("x"), F.lit("y")))
     tool = F.when(i == 4, "search").when(i != 6, "other")
-    return fx.view(spark, d, "events").select("event_id", runs.map_arguments(value, inputs, tool).alias("arguments"))
\ No newline at end of file
+    return fx.view(spark, d, "events").select("event_id", runs.map_arguments(value, inputs, tool).alias("arguments"))
+
+
+_MESSAGES = """messages AS (SELECT run_id, step_number, 0 AS sub_position, 'user' AS role, concat('New task:', chr(10), content) AS content FROM fx_steps WHERE role = 'user' UNION ALL
+SELECT run_id, step_number, 0, 'assistant', content FROM fx_steps WHERE role <> 'user' UNION ALL
+SELECT run_id, step_number, 1, 'tool-response', concat('Call id: c', step_number, chr(10), content) FROM fx_steps WHERE role <> 'user' AND step_number % 2 = 1)"""
+
+
+@query(
+    "R16_vendor_messages",
+    """SELECT run_id, step_number, sub_position, CASE role WHEN 'tool-response' THEN 'tool' ELSE role END AS role, content, CASE WHEN role = 'tool-response' THEN 'c' || step_number END AS tool_call_id,
+CASE WHEN role = 'assistant' AND step_number % 4 = 1 THEN '[{"id":"c' || step_number || '","type":"function","function":{"name":"search","arguments":"{}"}}]' END AS tool_calls FROM messages""",
+    extra=_MESSAGES,
+)
+def _(spark, d):
+    call = F.struct(F.concat(F.lit("c"), F.col("step_number").cast("string")).alias("id"), F.lit("search").alias("name"), F.lit(None).cast("string").alias("arguments"))
+    said = runs.messages(fx.steps(spark, d)).withColumn("tool_calls", F.when(F.col("step_number") % 4 == 1, F.array(call)))
+    return requests.vendor_messages(said)
+
+
+@query(
+    "R16_response_messages",
+    """SELECT event_id, 'assistant' AS role, CASE event_id % 5 WHEN 0 THEN '' ELSE event_type END AS content,
+CASE event_id % 5 WHEN 1 THEN '{}' WHEN 2 THEN '{"a": 1}' WHEN 3 THEN '{"value":"not \\"' || event_type || '"}' WHEN 4 THEN '{"value":"[1]"}' END AS arguments FROM events""",
+)
+def _(spark, d):
+    i = F.col("event_id") % 5
+    given = F.when(i == 1, "").when(i == 2, '{"a": 1}').when(i == 3, F.concat(F.lit('not "'), "event_type")).when(i == 4, "[1]")
+    none = F.expr("cast(array() as array<struct<id: string, name: string, arguments: string>>)")
+    calls = F.when(i == 0, none).otherwise(F.array(F.struct(F.lit("c").alias("id"), F.lit("t").alias("name"), given.alias("arguments"))))
+    texts = F.when(i == 0, F.expr("cast(array() as array<string>)")).otherwise(F.array("event_type", F.lit("more")))
+    came = fx.view(spark, d, "events").select("event_id", texts.alias("texts"), calls.alias("tool_calls"))
+    return requests.response_messages(came).select("event_id", "role", "content", F.get("tool_calls", F.lit(0))["arguments"].alias("arguments"))
+
+
+@query(
+    "R17_embedded_calls",
+    """SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_type END AS name, CASE event_id % 4 WHEN 0 THEN '{"q":' || event_id || '}' END AS arguments FROM events""",
+)
+def _(spark, d):
+    i, whole = F.col("event_id") % 4, F.concat(F.lit('I call {"name": "'), "event_type", F.lit('", "arguments": {"q": '), F.col("event_id").cast("string"), F.lit("}}\nnow"))
+    said = F.when(i == 0, whole).when(i == 1, "} nothing {").when(i == 2, F.concat(F.lit('{"name": '), "event_type", F.lit("}"))).otherwise('{"arguments": {}}')
+    call = requests.embedded_call(said)
+    return fx.view(spark, d, "events").select("event_id", call["name"].alias("name"), call["arguments"].alias("arguments"))
+
+
+@query(
+    "R18_requests",
+    """SELECT run_id, '[' || string_agg('{"role":"' || CASE role WHEN 'tool-response' THEN 'user' ELSE role END || '","content":' || CAST(to_json(content) AS VARCHAR) || '}', ',' ORDER BY step_number, sub_position) || ']' AS messages,
+CASE WHEN run_id % 2 = 0 THEN '["END"]' END AS stop, CASE WHEN run_id % 3 > 0 THEN '[{"type":"function","function":{"name":"search","description":"Tool: search","parameters":{"type":"object","properties":{},"required":[]}}}]' END AS tools,
+CASE run_id % 3 WHEN 1 THEN '"auto"' WHEN 2 THEN '"none"' END AS tool_choice, CASE WHEN run_id % 5 = 0 THEN '0.5' ELSE '1' END AS temperature FROM messages GROUP BY run_id""",
+    extra=_MESSAGES,
+)
+def _(spark, d):
+    run, none = F.col("run_id"), F.expr("cast(array() as array<string>)")
+    options = fx.view(spark, d, "fx_steps").select("run_id").distinct().withColumns(
+        {
+            "model": F.when(run % 2 == 0, "a/gpt-4o").otherwise("a/o3-mini"),
+            "defaults": F.create_map(F.lit("temperature"), F.lit("1"), F.lit("messages"), F.lit("[]")),
+            "additional": F.when(run % 5 == 0, F.create_map(F.lit("temperature"), F.lit("0.5"))),
+            "stop": F.array(F.lit("END")),
+            "tools": F.when(run % 3 > 0, F.array(F.lit("search"))).otherwise(none),
+            "response_format": F.lit(None).cast("string"),
+            "tool_choice": F.when(run % 3 == 2, '"none"'),
+        }
+    )
+    made = requests.requests(runs.messages(fx.steps(spark, d)), options, {"tool-response": "user"})
+    return made.select("run_id", *[F.try_element_at("arguments", F.lit(k)).alias(k) for k in ("messages", "stop", "tools", "tool_choice", "temperature")])
+
+
+@query("R19_model_entries", "SELECT s_suppkey, s_name AS model_id, '[REDACTED]' AS api_key, 'true' AS cache_enabled, CASE WHEN s_suppkey % 2 = 0 THEN 'low' END AS effort FROM supplier")
+def _(spark, d):
+    s = fx.view(spark, d, "supplier")
+    given = F.when(F.col("s_suppkey") % 2 == 0, F.create_map(F.lit("effort"), F.lit("low"), F.lit("model_id"), F.lit("hidden by the field")))
+    entry = requests.model_entry(given, model_id=F.col("s_name"), api_key=F.col("s_suppkey"), cache_enabled=F.lit(True))
+    return s.select("s_suppkey", *[F.try_element_at(entry, F.lit(k)).alias(k) for k in ("model_id", "api_key", "cache_enabled", "effort")])
+
+
+@query(
+    "R19_X01_tool_entries",
+    """SELECT 't' || n_nationkey AS tool, '{"name":"t' || n_nationkey || '","description":"' || n_name || '","inputs":{' || CASE WHEN n_nationkey % 2 = 0 THEN '"a":{"type":"string","description":"one"},"b":{"type":"any","description":"two"}' ELSE '' END || '},"output_type":"string"}' AS entry FROM nation""",
+)
+def _(spark, d):
+    tools = fx.view(spark, d, "nation").select("n_nationkey", F.concat(F.lit("t"), F.col("n_nationkey").cast("string")).alias("tool"), F.col("n_name").alias("description"), F.lit("string").alias("output_type"))
+    inputs = spark.createDataFrame([("b", "any", "two"), ("a", "string", "one")], "argument string, type string, description string")
+    return requests.tool_entries(tools.drop("n_nationkey"), tools.filter("n_nationkey % 2 = 0").select("tool").join(F.broadcast(inputs)))  # two rows
+
+
+@query(
+    "X09_input_specifications",
+    "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'type or description is missing' WHEN 1 THEN 'unknown types: ' || event_type || ', text' WHEN 2 THEN 'no type' END AS error FROM events",
+)
+def _(spark, d):
+    i, none = F.col("event_id") % 4, F.expr("cast(array() as array<string>)")
+    types = F.when(i == 1, F.array("event_type", F.lit("text"), F.lit("string"))).when(i == 2, none).otherwise(F.array(F.lit("string"), F.lit("null")))
+    return fx.view(spark, d, "events").select("event_id", requests.input_error(types, F.when(i > 0, "d")).alias("error"))
+
+
+@query(
+    "R03_documentation",
+    "SELECT node_id, CASE node_id % 4 WHEN 0 THEN '<summary>' || chr(10) || name || chr(10) || '</summary>' WHEN 1 THEN name || chr(10) || 'of ' || namespace WHEN 2 THEN 'Holds ' || name END AS documentation FROM fx_nodes",
+)
+def _(spark, d):
+    i = F.col("node_id") % 4
+    lines = F.concat(F.lit("// no\n\n  /// <summary>\n  /// "), "name", F.lit("\n  /// </summary>\n  // no\n  /// second\n"))
+    block = F.concat(F.lit("\n/** "), "name", F.lit("\n  * of "), "namespace", F.lit("\n */\n"))
+    leading = F.when(i == 0, lines).when(i == 1, block).when(i == 2, F.concat(F.lit("///Holds "), "name")).otherwise("//// no\n/* no */\n")
+    return fx.view(spark, d, "fx_nodes").select("node_id", text.documentation(leading).alias("documentation"))
+
+
+@query("P15_index_filters", "SELECT node_id FROM fx_nodes WHERE namespace = 'Shop.Tests' AND node_id % 2 = 1 AND node_id % 3 = 0")
+def _(spark, d):
+    one = F.when(F.col("node_id") % 2 == 1, '{"name": "A"}').otherwise('{"name": "A"}, {"name": "B"}')
+    using = F.when(F.col("node_id") % 3 == 0, '"System"').otherwise("")
+    body = F.concat(F.lit('{"type": "CompilationUnit", "namespace": "'), "namespace", F.lit('", "usings": ['), using, F.lit('], "classes": ['), one, F.lit('], "interfaces": [], "enums": [], "records": [], "structs": []}'))
+    indexed = nested.index(fx.view(spark, d, "fx_nodes").select(F.col("node_id").cast("string").alias("file_path"), body.alias("content")))
+    return nested.query_index(indexed, {"namespace": "shop.tests", "n_classes": 1, "usings": "System"}).select(F.col("file_path").cast("long").alias("node_id"))
+
+
+@query("R09_store_queries", "SELECT file_path, 'files' AS asked FROM fx_files WHERE status = 'Failed' UNION ALL SELECT file_path, 'domains' FROM fx_files WHERE has_domain AND doc_id % 2 = 0")
+def _(spark, d):
+    kept = store.FileStore(spark, iterate.shared_path(spark, "store"))
+    named = F.when(F.regexp_extract("file_path", r"(\d+)\.md$", 1).cast("long") % 2 == 0, '{"domains": [{"name": "Even", "reasoning": "r"}]}').otherwise('{"domains": [{"name": "Odd", "reasoning": "r"}]}')
+    entries = _store_entries(spark, d).withColumn("_named", named)
+    kept.upsert(entries.withColumn("level_data", F.transform_values("level_data", lambda k, v: v.withField("content", F.when(k == "DomainKeywords", F.col("_named")).otherwise(v["content"])))).drop("_named"))
+    return kept.files(status="Failed").select("file_path", F.lit("files").alias("asked")).union(kept.domains(name="even").select("file_path", F.lit("domains")))
+
+
+@query(
+    "T02_claim",
+    """SELECT job_id, worker_id, 'Processing' AS status FROM fx_jobs WHERE status = 'Pending' AND worker_id NOT IN (SELECT worker_id FROM fx_jobs WHERE status = 'Processing' AND job_id % 50 = 0)
+QUALIFY row_number() OVER (PARTITION BY worker_id ORDER BY created_at, job_id) = 1""",
+)
+def _(spark, d):
+    j = fx.view(spark, d, "fx_jobs")
+    return pipeline.claim(j, pipeline.active_jobs(j).filter("job_id % 50 = 0"), "worker_id").select("job_id", "worker_id", "status")
+
+
+@query("R11_queue_length", "SELECT count(*) AS length FROM fx_jobs WHERE status IN ('Pending', 'Retrying')")
+def _(spark, d):
+    return pipeline.queue_length(fx.view(spark, d, "fx_jobs"))
+
+
+@query("T10_T11_shutdown", "SELECT count(*) AS rows, true AS drained, false AS active, count(*) AS stored FROM fx_files")
+def _(spark, d):
+    f, into = _found_files(spark, d), iterate.shared_path(spark, "stream")
+    f.repartition(4, "file_path").write.parquet(f"{into}/in")
+    kept = store.FileStore(spark, f"{into}/store")
+    run = pipeline.start(pipeline.intake(spark, f.schema, f"{into}/in"), kept, {"Ast": _plain_ast, "DomainKeywords": _plain_domains}, f"{into}/check", once=False)
+    last = pipeline.shut_down(run, 300)
+    return kept.read().agg(F.count("*").alias("stored")).select(F.lit(last["rows"]).cast("long").alias("rows"), F.lit(last["drained"]).alias("drained"), F.lit(last["active"]).alias("active"), "stored")

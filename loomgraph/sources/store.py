@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import path_key
+from ..operators import nested
 from ..schemas import FILE_ENTRIES
 
 
@@ -102,6 +103,18 @@ class FileStore:
     def statistics(self, levels: list[str]) -> DataFrame:
         return statistics(self.read(), levels)
 
+    def files(self, **predicates) -> DataFrame:
+        """Entries that meet the predicates of query_files(); all without any."""
+        return nested.query_files(self.read(), **predicates)
+
+    def ast(self, **predicates) -> DataFrame:
+        """Elements of the stored ASTs that meet the predicates of query_ast()."""
+        return nested.query_ast(nested.ast_rows(nested.readable(self.read(), "Ast")), **predicates)
+
+    def domains(self, **predicates) -> DataFrame:
+        """Stored domains that meet the predicates of query_domains()."""
+        return nested.query_domains(nested.domain_rows(nested.readable(self.read(), "DomainKeywords")), **predicates)
+
 
 class ResponseCache:
     """Responses by request key, with a time to live."""

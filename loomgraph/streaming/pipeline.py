@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import time as clock
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -75,9 +76,65 @@ def start(stream: DataFrame, store: FileStore, extractors: dict[str, Extractor],
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="2 seconds")).start()
 
 
+def capacity(workers: int = 3) -> int:
+    """How many files wait at most for so many workers. The numbers are fixed values."""
+    return max(100 * workers, 1000)
+
+
+def intake(spark: SparkSession, schema: T.StructType, path: str, workers: int = 3) -> DataFrame:
+    """A stream of a folder's Parquet files that admits no more than capacity() of them at a time; others wait where they lie."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", capacity(workers)).parquet(path)
+
+
+def progress(run: StreamingQuery) -> dict:
+    """Of a stream's recent batches: how many there were, the rows that they took, and the rows a second of the last; and whether it runs."""
+    recent = run.recentProgress
+    return {"active": run.isActive, "batches": len(recent), "rows": sum(p["numInputRows"] for p in recent), "rows_per_s": recent[-1]["processedRowsPerSecond"] if recent else 0.0}
+
+
+def monitor(run: StreamingQuery, report: Callable[[dict], None], every_s: float = 30.0) -> None:
+    """Reports a stream's progress at such times until it ends, and once then. An error that ended it is raised."""
+    while not run.awaitTermination(every_s):
+        report(progress(run))
+    report(progress(run))
+
+
+def shut_down(run: StreamingQuery, drain_s: float = 30.0) -> dict:
+    """Ends a stream in phases: what has come is worked on for so many seconds at most, then it is stopped. Its progress, and whether nothing was left.
+
+    A batch that was cut short is not lost: it is run again from the checkpoint when the stream is started anew.
+    """
+    until, drained = clock.monotonic() + drain_s, False
+    while run.isActive and not drained and clock.monotonic() < until:
+        status = run.status
+        drained = not status["isDataAvailable"] and not status["isTriggerActive"] and run.lastProgress is not None
+        if not drained:
+            clock.sleep(0.1)
+    drained = drained or not run.isActive
+    last = progress(run)
+    run.stop()
+    return {**last, "active": run.isActive, "drained": drained}
+
+
 # jobs: job_id, worker_id, status, created_at, duration_s, attempt
 
 
+def claim(jobs: DataFrame, active: DataFrame, key: str = "file_path") -> DataFrame:
+    """Pending jobs to work on now, as Processing: the oldest of each key that no active job has."""
+    first = F.min_by(F.struct(*jobs.columns), F.struct("created_at", "job_id")).alias("j")
+    waiting = jobs.filter("status = 'Pending'").join(active.select(key).distinct(), key, "left_anti")
+    return waiting.groupBy(F.col(key).alias("_key")).agg(first).select("j.*").withColumn("status", F.lit("Processing"))
+
+
+def active_jobs(jobs: DataFrame) -> DataFrame:
+    return jobs.filter("status = 'Processing'")
+
+
+def queue_length(jobs: DataFrame) -> DataFrame:
+    """One row: the jobs that wait, retries included."""
+    return jobs.agg(F.count_if(F.col("status").isin("Pending", "Retrying")).alias("length"))
+
+
 def queue_statistics(jobs: DataFrame) -> DataFrame:
     n = lambda s: F.count_if(F.col("status") == s)
     mean = F.coalesce(F.avg(F.when(F.col("status") == "Completed", F.col("duration_s"))), F.lit(0.0))
