@@ -1468,3 +1468,25 @@ def _(spark, d):
     run = pipeline.start(pipeline.intake(spark, f.schema, f"{into}/in"), kept, {"Ast": _plain_ast, "DomainKeywords": _plain_domains}, f"{into}/check", once=False)
     last = pipeline.shut_down(run, 300)
     return kept.read().agg(F.count("*").alias("stored")).select(F.lit(last["rows"]).cast("long").alias("rows"), F.lit(last["drained"]).alias("drained"), F.lit(last["active"]).alias("active"), "stored")
+
+
+@query(
+    "X02_analysis",
+    """SELECT solution, count(*) AS project_count, count(*) FILTER (language = 'C#') > 0 AS is_valid, (SELECT count(*) FROM fx_nodes) AS node_count,
+'Analyzed ' || (SELECT count(*) FROM fx_nodes) || ' types with ' || (SELECT count(*) FROM fx_edges) || ' dependencies across ' || (SELECT count(DISTINCT project) FROM fx_nodes) || ' projects' AS summary FROM pr GROUP BY 1""",
+    extra=_PROJECTS,
+)
+def _(spark, d):
+    found = projects.analyze(*_projects(spark, d), fx.view(spark, d, "fx_nodes"), fx.view(spark, d, "fx_edges"), "comprehensive")
+    return found.select("solution", "basic.project_count", "validation.is_valid", "dependency_graph.node_count", "dependency_graph.summary")
+
+
+@query("X07_callbacks", "SELECT run_id, step_number, CASE role WHEN 'user' THEN 'Task' ELSE 'Action' END AS kind FROM fx_steps")
+def _(spark, d):
+    steps, into = fx.steps(spark, d).select("run_id", "step_number", "step_type"), iterate.shared_path(spark, "steps")
+    steps.repartition(2, "run_id").write.parquet(f"{into}/in")
+    keep = lambda kind: lambda batch: batch.select("run_id", "step_number", F.lit(kind).alias("kind")).write.mode("append").parquet(f"{into}/out")
+    callbacks = {"Task": [keep("Task")], "Action": [lambda _: 1 / 0, keep("Action")]}
+    run = spark.readStream.schema(steps.schema).parquet(f"{into}/in").writeStream.foreachBatch(lambda batch, _: pipeline.call_back(batch, callbacks, lambda *_: None))
+    run.option("checkpointLocation", f"{into}/check").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{into}/out")

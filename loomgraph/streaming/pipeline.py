@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import time as clock
 from collections.abc import Callable
 
@@ -116,6 +117,21 @@ def shut_down(run: StreamingQuery, drain_s: float = 30.0) -> dict:
     return {**last, "active": run.isActive, "drained": drained}
 
 
+def call_back(steps: DataFrame, callbacks: dict[str, list[Callable[[DataFrame], None]]], failed: Callable[[str, Exception], None] | None = None) -> None:
+    """Hands the steps of each type to the callbacks of that type, in order: for foreachBatch of a stream of steps.
+
+    A callback that fails is reported (logged by default), and stops neither the others nor the stream.
+    """
+    report = failed or (lambda kind, error: logging.getLogger(__name__).warning("callback for %s: %s", kind, error))
+    for kind, each in callbacks.items():
+        of_kind = steps.filter(F.col("step_type") == kind)
+        for callback in each:
+            try:
+                callback(of_kind)
+            except Exception as error:  # noqa: BLE001
+                report(kind, error)
+
+
 # jobs: job_id, worker_id, status, created_at, duration_s, attempt
 
 

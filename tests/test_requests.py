@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text
-from loomgraph.operators import nested, requests
+from loomgraph.operators import nested, projects, requests
 from loomgraph.streaming import pipeline
 
 MESSAGES = "role string, content string, tool_calls array<struct<id: string, name: string, arguments: string>>"
@@ -56,6 +56,22 @@ def test_unknown_index_field(spark):
         nested.query_index(nested.index(spark.createDataFrame([], "file_path string, content string")), {"nothing": 1}).collect()
 
 
+def test_failing_callbacks(spark):
+    seen, failed = [], []
+    steps = spark.createDataFrame([("Task", 1), ("Action", 2), ("Action", 3)], "step_type string, n long")
+    pipeline.call_back(steps, {"Action": [lambda _: 1 / 0, lambda df: seen.append(df.count())], "Final": [lambda df: seen.append(df.count())]}, lambda kind, error: failed.append((kind, type(error))))
+    assert seen == [2, 0] and failed == [("Action", ZeroDivisionError)]
+
+
+def test_kinds_of_analysis(spark):
+    tables = [spark.createDataFrame([], s) for s in ("solution string, project string, language string", "project string, name string", "node_id long, project string", "src long, dst long")]
+    assert projects.analyze(*tables).columns == projects.summary(*tables[:2]).columns
+    assert projects.analyze(*tables, "validation").count() == projects.analyze(*tables, "comprehensive").count() == 0
+    assert projects.analyze(*tables, "dependency_graph").first().summary == "Analyzed 0 types with 0 dependencies across 0 projects"
+    with pytest.raises(ValueError, match="unknown analysis"):
+        projects.analyze(*tables, "deep")
+
+
 def test_monitor_and_shutdown(spark, tmp_path):
     spark.range(10).write.parquet(f"{tmp_path}/in")
     stream = pipeline.intake(spark, spark.range(1).schema, f"{tmp_path}/in")
