@@ -8,6 +8,7 @@ from loomgraph.plans.queries import QUERIES
 SF = "/root/testdata/sf0.001"
 ONCE = [
     "A04_metrics",
+    "A05_mean_dimensions",
 ]
 
 
