@@ -9,6 +9,7 @@ SF = "/root/testdata/sf0.001"
 ONCE = [
     "A04_metrics",
     "A05_mean_dimensions",
+    "A06_profiles",
 ]
 
 
