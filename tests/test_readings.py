@@ -10,6 +10,7 @@ ONCE = [
     "A04_metrics",
     "A05_mean_dimensions",
     "A06_profiles",
+    "A07_pair_strength",
 ]
 
 
