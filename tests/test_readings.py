@@ -11,6 +11,7 @@ ONCE = [
     "A05_mean_dimensions",
     "A06_profiles",
     "A07_pair_strength",
+    "A08_relationship_strength",
 ]
 
 
