@@ -12,6 +12,7 @@ ONCE = [
     "A06_profiles",
     "A07_pair_strength",
     "A08_relationship_strength",
+    "A09_strongest_types",
 ]
 
 
