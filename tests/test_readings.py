@@ -13,6 +13,7 @@ ONCE = [
     "A07_pair_strength",
     "A08_relationship_strength",
     "A09_strongest_types",
+    "A10_semantic_types",
 ]
 
 
