@@ -14,6 +14,7 @@ ONCE = [
     "A08_relationship_strength",
     "A09_strongest_types",
     "A10_semantic_types",
+    "A10_structural_types",
 ]
 
 
