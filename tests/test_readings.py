@@ -15,6 +15,7 @@ ONCE = [
     "A09_strongest_types",
     "A10_semantic_types",
     "A10_structural_types",
+    "F06_edge_pattern",
 ]
 
 
