@@ -16,6 +16,7 @@ ONCE = [
     "A10_semantic_types",
     "A10_structural_types",
     "F06_edge_pattern",
+    "F08_strength",
 ]
 
 
