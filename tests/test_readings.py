@@ -17,6 +17,7 @@ ONCE = [
     "A10_structural_types",
     "F06_edge_pattern",
     "F08_strength",
+    "F18_edge_strings",
 ]
 
 
