@@ -18,6 +18,7 @@ ONCE = [
     "F06_edge_pattern",
     "F08_strength",
     "F18_edge_strings",
+    "G12_strongest_path",
 ]
 
 
