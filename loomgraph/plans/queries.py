@@ -723,7 +723,7 @@ def _(spark, d):
 def _(spark, d):
     x = g(spark, d)
     on = lambda e: x.cyclic.withColumnRenamed("node_id", e)
-    return x.edges.join(on("src"), "src", "left_semi").join(on("dst"), "dst", "left_semi").select("edge_seq")
+    return x.held.edges.join(on("src"), "src", "left_semi").join(on("dst"), "dst", "left_semi").select("edge_seq")
 
 
 # scalar functions
@@ -1098,7 +1098,7 @@ def _(spark, d):
 @query("G16_in_cycle", "SELECT n.node_id, c.node_id IS NOT NULL AS in_cycle FROM fx_nodes n LEFT JOIN cyc c USING (node_id)", True, CLOSURE)
 def _(spark, d):
     x = g(spark, d)
-    return x.nodes.join(x.cyclic.withColumn("c", F.lit(True)), "node_id", "left").select("node_id", F.coalesce("c", F.lit(False)).alias("in_cycle"))
+    return x.held.nodes.join(x.cyclic.withColumn("c", F.lit(True)), "node_id", "left").select("node_id", F.coalesce("c", F.lit(False)).alias("in_cycle"))
 
 
 @query(

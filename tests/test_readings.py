@@ -19,6 +19,7 @@ ONCE = [
     "F08_strength",
     "F18_edge_strings",
     "G12_strongest_path",
+    "G16_in_cycle",
 ]
 
 
