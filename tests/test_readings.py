@@ -20,6 +20,7 @@ ONCE = [
     "F18_edge_strings",
     "G12_strongest_path",
     "G16_in_cycle",
+    "O02_strongest_weakest",
 ]
 
 
