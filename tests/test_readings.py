@@ -21,6 +21,7 @@ ONCE = [
     "G12_strongest_path",
     "G16_in_cycle",
     "O02_strongest_weakest",
+    "O03_strongest_composite",
 ]
 
 
