@@ -22,6 +22,7 @@ ONCE = [
     "G16_in_cycle",
     "O02_strongest_weakest",
     "O03_strongest_composite",
+    "O04_strongest_of_each",
 ]
 
 
