@@ -23,6 +23,7 @@ ONCE = [
     "O02_strongest_weakest",
     "O03_strongest_composite",
     "O04_strongest_of_each",
+    "P06_by_profile_or_pattern",
 ]
 
 
