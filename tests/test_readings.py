@@ -24,6 +24,7 @@ ONCE = [
     "O03_strongest_composite",
     "O04_strongest_of_each",
     "P06_by_profile_or_pattern",
+    "U06_cycle_edges",
 ]
 
 
