@@ -25,6 +25,7 @@ ONCE = [
     "O04_strongest_of_each",
     "P06_by_profile_or_pattern",
     "U06_cycle_edges",
+    "W04_lifted_strength",
 ]
 
 
