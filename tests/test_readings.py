@@ -26,6 +26,7 @@ ONCE = [
     "P06_by_profile_or_pattern",
     "U06_cycle_edges",
     "W04_lifted_strength",
+    "G03_components",
 ]
 
 
