@@ -27,6 +27,7 @@ ONCE = [
     "U06_cycle_edges",
     "W04_lifted_strength",
     "G03_components",
+    "F18_finding_strings",
 ]
 
 
