@@ -28,6 +28,7 @@ ONCE = [
     "W04_lifted_strength",
     "G03_components",
     "F18_finding_strings",
+    "G03_G04_cyclic",
 ]
 
 
