@@ -29,6 +29,7 @@ ONCE = [
     "G03_components",
     "F18_finding_strings",
     "G03_G04_cyclic",
+    "F19_report",
 ]
 
 
