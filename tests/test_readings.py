@@ -30,6 +30,7 @@ ONCE = [
     "F18_finding_strings",
     "G03_G04_cyclic",
     "F19_report",
+    "G13_order_of_cyclic",
 ]
 
 
