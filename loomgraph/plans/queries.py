@@ -641,7 +641,7 @@ def _(spark, d):
 @query("O02_strongest_weakest", "(SELECT edge_seq, 'strong' AS role FROM st ORDER BY round(strength, 9) DESC, edge_seq LIMIT 20) UNION ALL (SELECT edge_seq, 'weak' FROM st ORDER BY round(strength, 9), edge_seq LIMIT 20)", True, STRENGTH)
 def _(spark, d):
     x = g(spark, d)
-    x.scored = x.scored.withColumn("strength", F.round("strength", 9))
+    x.scored = x.rated.withColumn("strength", F.round("strength", 9))
     return x.strongest().select("edge_seq", F.lit("strong").alias("role")).union(x.weakest().select("edge_seq", F.lit("weak")))
 
 
@@ -742,7 +742,7 @@ def _(spark, d):
 
 @query("F06_edge_pattern", "SELECT edge_seq, edge_pattern FROM j", True, STRENGTH)
 def _(spark, d):
-    return g(spark, d).scored.select("edge_seq", "edge_pattern")
+    return g(spark, d).with_patterns().select("edge_seq", "edge_pattern")
 
 
 @query("F07_change_frequency", "SELECT node_id, freq FROM cf", True, STRENGTH)
