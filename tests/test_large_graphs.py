@@ -46,6 +46,7 @@ def test_numbers_far_apart_and_close():
 #: Queries and the tables of scores that they write: none where these are read once.
 WRITTEN = {
     "F08_strength": [],
+    "A05_mean_dimensions": [],
 }
 
 
