@@ -47,6 +47,7 @@ def test_numbers_far_apart_and_close():
 WRITTEN = {
     "F08_strength": [],
     "A05_mean_dimensions": [],
+    "A06_profiles": [],
 }
 
 
