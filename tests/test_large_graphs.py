@@ -48,6 +48,7 @@ WRITTEN = {
     "F08_strength": [],
     "A05_mean_dimensions": [],
     "A06_profiles": [],
+    "A07_pair_strength": [],
 }
 
 
