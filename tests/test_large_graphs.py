@@ -49,6 +49,7 @@ WRITTEN = {
     "A05_mean_dimensions": [],
     "A06_profiles": [],
     "A07_pair_strength": [],
+    "A08_relationship_strength": [],
 }
 
 
