@@ -50,6 +50,7 @@ WRITTEN = {
     "A06_profiles": [],
     "A07_pair_strength": [],
     "A08_relationship_strength": [],
+    "A09_strongest_types": [],
 }
 
 
