@@ -51,6 +51,7 @@ WRITTEN = {
     "A07_pair_strength": [],
     "A08_relationship_strength": [],
     "A09_strongest_types": [],
+    "A10_semantic_types": [],
 }
 
 
