@@ -52,6 +52,7 @@ WRITTEN = {
     "A08_relationship_strength": [],
     "A09_strongest_types": [],
     "A10_semantic_types": [],
+    "A10_structural_types": [],
 }
 
 
