@@ -53,6 +53,7 @@ WRITTEN = {
     "A09_strongest_types": [],
     "A10_semantic_types": [],
     "A10_structural_types": [],
+    "F06_edge_pattern": [],
 }
 
 
