@@ -54,6 +54,7 @@ WRITTEN = {
     "A10_semantic_types": [],
     "A10_structural_types": [],
     "F06_edge_pattern": [],
+    "F18_edge_strings": [],
 }
 
 
