@@ -55,6 +55,7 @@ WRITTEN = {
     "A10_structural_types": [],
     "F06_edge_pattern": [],
     "F18_edge_strings": [],
+    "G12_strongest_path": [],
 }
 
 
