@@ -56,6 +56,7 @@ WRITTEN = {
     "F06_edge_pattern": [],
     "F18_edge_strings": [],
     "G12_strongest_path": [],
+    "O02_strongest_weakest": ["rated"],
 }
 
 
