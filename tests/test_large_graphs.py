@@ -57,6 +57,7 @@ WRITTEN = {
     "F18_edge_strings": [],
     "G12_strongest_path": [],
     "O02_strongest_weakest": ["rated"],
+    "O03_strongest_composite": [],
 }
 
 
