@@ -58,6 +58,7 @@ WRITTEN = {
     "G12_strongest_path": [],
     "O02_strongest_weakest": ["rated"],
     "O03_strongest_composite": [],
+    "O04_strongest_of_each": [],
 }
 
 
