@@ -59,6 +59,7 @@ WRITTEN = {
     "O02_strongest_weakest": ["rated"],
     "O03_strongest_composite": [],
     "O04_strongest_of_each": [],
+    "P06_by_profile_or_pattern": [],
 }
 
 
