@@ -60,6 +60,7 @@ WRITTEN = {
     "O03_strongest_composite": [],
     "O04_strongest_of_each": [],
     "P06_by_profile_or_pattern": [],
+    "W04_lifted_strength": [],
 }
 
 
