@@ -61,6 +61,7 @@ WRITTEN = {
     "O04_strongest_of_each": [],
     "P06_by_profile_or_pattern": [],
     "W04_lifted_strength": [],
+    "F18_finding_strings": ["rated"],
 }
 
 
