@@ -62,6 +62,7 @@ WRITTEN = {
     "P06_by_profile_or_pattern": [],
     "W04_lifted_strength": [],
     "F18_finding_strings": ["rated"],
+    "F19_report": ["rated"],
 }
 
 
