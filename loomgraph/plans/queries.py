@@ -723,7 +723,7 @@ def _(spark, d):
 def _(spark, d):
     x = g(spark, d)
     on = lambda e: x.cyclic.withColumnRenamed("node_id", e)
-    return x.held.edges.join(on("src"), "src", "left_semi").join(on("dst"), "dst", "left_semi").select("edge_seq")
+    return x.drawn.edges.join(on("src"), "src", "left_semi").join(on("dst"), "dst", "left_semi").select("edge_seq")
 
 
 # scalar functions
