@@ -158,7 +158,7 @@ def _(spark, d):
 
 @query("P06_by_profile_or_pattern", "SELECT edge_seq, profile, edge_pattern FROM st WHERE profile = 'TestingChallenge' OR edge_pattern = 'Repository'", True, STRENGTH)
 def _(spark, d):
-    return g(spark, d).scored.filter("profile = 'TestingChallenge' or edge_pattern = 'Repository'").select("edge_seq", "profile", "edge_pattern")
+    return g(spark, d).scores("edge_seq", "profile", "edge_pattern").filter("profile = 'TestingChallenge' or edge_pattern = 'Repository'").select("edge_seq", "profile", "edge_pattern")
 
 
 @query("P07_high_fan", "SELECT node_id, fan_in, fan_out FROM d WHERE fan_in >= 4 OR fan_out >= 4", extra=DEGREES)
@@ -394,17 +394,17 @@ def _(spark, d):
 
 @query("A05_mean_dimensions", "SELECT round(avg(structural), 6) AS structural, round(avg(semantic), 6) AS semantic, round(avg(coupling), 6) AS coupling, round(avg(stability), 6) AS stability FROM st", True, STRENGTH)
 def _(spark, d):
-    return g(spark, d).scored.agg(*[r6(F.avg(c)).alias(c) for c in DIMENSIONS[:4]])
+    return g(spark, d).scores(*DIMENSIONS[:4]).agg(*[r6(F.avg(c)).alias(c) for c in DIMENSIONS[:4]])
 
 
 @query("A06_profiles", "SELECT profile, count(*) AS n FROM st GROUP BY 1", True, STRENGTH)
 def _(spark, d):
-    return g(spark, d).scored.groupBy("profile").agg(F.count("*").alias("n"))
+    return g(spark, d).scores("profile").groupBy("profile").agg(F.count("*").alias("n"))
 
 
 @query("A07_pair_strength", "SELECT src, dst, count(*) AS n, round(max(strength), 6) AS strength FROM st GROUP BY ALL HAVING count(*) > 1", True, STRENGTH)
 def _(spark, d):
-    return g(spark, d).scored.groupBy("src", "dst").agg(F.count("*").alias("n"), r6(F.max("strength")).alias("strength")).filter("n > 1")
+    return g(spark, d).scores("src", "dst", "strength").groupBy("src", "dst").agg(F.count("*").alias("n"), r6(F.max("strength")).alias("strength")).filter("n > 1")
 
 
 _TRADE_KINDS = KINDS.replace("fx_edges", "fx_trade")
@@ -600,7 +600,7 @@ def _(spark, d):
 
 @query("W04_lifted_strength", "SELECT edge_seq, round(strength, 6) AS strength, round(composite, 6) AS composite FROM st WHERE strength > composite", True, STRENGTH)
 def _(spark, d):
-    return g(spark, d).scored.filter("strength > composite").select("edge_seq", r6("strength").alias("strength"), r6("composite").alias("composite"))
+    return g(spark, d).scores("edge_seq", "strength", "composite").filter("strength > composite").select("edge_seq", r6("strength").alias("strength"), r6("composite").alias("composite"))
 
 
 @query("W05_processing_order", "SELECT node_id, CAST(row_number() OVER (ORDER BY level DESC, node_id) - 1 AS INTEGER) AS processing_order FROM lv", True, LEVELS)
@@ -648,14 +648,14 @@ def _(spark, d):
 @query("O03_strongest_composite", "SELECT edge_seq, round(composite, 6) AS composite FROM st ORDER BY round(composite, 9) DESC, edge_seq LIMIT 20", True, STRENGTH)
 def _(spark, d):
     x = g(spark, d)
-    x.scored = x.scored.withColumn("composite", F.round("composite", 9))
+    x.scored = x.scores("edge_seq", "composite").withColumn("composite", F.round("composite", 9))
     return x.strongest(20, "composite").select("edge_seq", r6("composite").alias("composite"))
 
 
 @query("O04_strongest_of_each", "SELECT src, edge_seq, CAST(n AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(strength, 9) DESC, edge_seq) AS n FROM st) WHERE n <= 2", True, STRENGTH)
 def _(spark, d):
     x = g(spark, d)
-    x.scored = x.scored.withColumn("strength", F.round("strength", 9))
+    x.scored = x.scores("src", "edge_seq", "strength").withColumn("strength", F.round("strength", 9))
     return x.strongest_of_each(2).select("src", "edge_seq", "rank")
 
 
@@ -753,7 +753,7 @@ def _(spark, d):
 
 @query("F08_strength", "SELECT edge_seq, " + ", ".join(f"round({c}, 6) AS {c}" for c in [*DIMENSIONS, "composite", "strength"]) + ", profile FROM st", True, STRENGTH)
 def _(spark, d):
-    return g(spark, d).scored.select("edge_seq", *[r6(c).alias(c) for c in [*DIMENSIONS, "composite", "strength"]], "profile")
+    return g(spark, d).scores("edge_seq", *DIMENSIONS, "composite", "strength", "profile").select("edge_seq", *[r6(c).alias(c) for c in [*DIMENSIONS, "composite", "strength"]], "profile")
 
 
 @query("F09_member_purpose", f"SELECT edge_seq, ({_MEMBER})::DOUBLE AS purpose FROM fx_edges")
@@ -808,7 +808,7 @@ def _(spark, d):
 def _(spark, d):
     x = g(spark, d)
     s, t = (x.nodes.select(F.col("node_id").alias(end), F.col("name").alias(f"{end}_name")) for end in ("src", "dst"))
-    e = x.scored.select("edge_seq", "src", "dst", "member_name", "dep_type", "strength", "composite", "profile", *DIMENSIONS).join(s, "src", "left").join(t, "dst", "left")
+    e = x.scores("edge_seq", "src", "dst", "member_name", "dep_type", "strength", "composite", "profile", *DIMENSIONS).join(s, "src", "left").join(t, "dst", "left")
     of, to = (F.coalesce(f"{end}_name", F.col(end).cast("string")) for end in ("src", "dst"))
     line = text.edge_display(of, F.col("member_name"), to, F.col("dep_type"), F.col("strength"), F.col("composite"), F.col("profile"), F.lit(None).cast("string"))
     return e.select("edge_seq", line.alias("edge"), text.strength_display(F.col("composite"), {k: F.col(k) for k in DIMENSIONS}, F.col("profile")).alias("strengths"))
