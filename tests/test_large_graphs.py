@@ -1,11 +1,13 @@
 """Ways that large graphs take, against those of small ones."""
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
 
+from loomgraph.functions import text
 from loomgraph.operators import graph
 from loomgraph.operators.graph import DependencyGraph
 from loomgraph.plans import fixtures, iterate
@@ -159,3 +161,14 @@ def test_lines_without_a_number_come_first(spark):
     # the fixture numbers edges of a source by order and line; rows alike in both are told apart by the rest
     assert plain.count() > 20 and _rows(plain) == _rows(many.select(plain.columns))
     lines.unpersist()
+
+
+def test_each_score_is_written_once_for_all_its_rows(monkeypatch):
+    made = []
+    plain = text.Decimal
+    monkeypatch.setattr(text, "Decimal", lambda v="0": made.append(v) or plain(v))
+    values = [0.125, -0.125, 0.0, -0.0, float("nan"), float("inf"), float("-inf"), 2.675] * 50
+    found = text.fixed2.func(pd.Series(values)).tolist()
+    assert found == ["0.13", "-0.13", "0.00", "-0.00", "NaN", "∞", "-∞", "2.67"] * 50
+    assert len([v for v in made if v != "0.01"]) == 8
+    assert text.fixed2.func(pd.Series([], dtype="float64")).tolist() == []
